@@ -67,15 +67,19 @@ class Words:
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
-
-    def hashes(self, seed: int = 0) -> np.ndarray:
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        eights = np.ndarray(shape=(len(self.data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
-        size = self.ends - self.starts
-        h = mix(size.astype(U) + U(0x9E3779B97F4A7C15 * (seed + 1) % (1 << 64)))
+    _padded: np.ndarray | None = None
+
+    def hashes(self, which: np.ndarray | None = None) -> np.ndarray:
+        """64-bit hashes of all words, or of those with the indices ``which``."""
+        if self._padded is None:
+            self._padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eights = np.ndarray(shape=(len(self.data) + 1,), dtype="<u8", buffer=self._padded.data, strides=(1,))
+        starts, ends = (self.starts, self.ends) if which is None else (self.starts[which], self.ends[which])
+        size = ends - starts
+        h = mix(size.astype(U) + U(0x9E3779B97F4A7C15))
         live, at = np.arange(len(size)), 0
         while len(live):
-            part = eights[self.starts[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]
+            part = eights[starts[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]
             h[live] = mix((h[live] ^ part) * U(0x9FB21C651E98DF25) + U(at + 1))
             at += 8
             live = live[size[live] > at]
