@@ -168,10 +168,10 @@ def trie_links(values: np.ndarray, pairs: tuple, radius: int, forest: Forest, le
             (lo1, mid1, mid2, hi2, bits + 1, depth + 1),
             tuple(x[~same] for x in (mid1, hi1, lo2, mid2, bits + 1, depth + 1)),
         ]
-        for c in children:
-            alive = (c[0] < c[1]) & (c[2] < c[3]) & (c[4] <= radius)
-            if alive.any():
-                stack.append(tuple(x[alive] for x in c))
+        merged = tuple(np.concatenate(x) for x in zip(*children, strict=True))
+        alive = (merged[0] < merged[1]) & (merged[2] < merged[3]) & (merged[4] <= radius)
+        if alive.any():
+            stack.append(tuple(x[alive] for x in merged))
 
 
 def unit_forest(fps: np.ndarray, left: int, right: int, depth: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
