@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sparkvec.llm import bpe, decontaminate, neardup, quality, secrets
+from sparkvec.llm import bpe, decontaminate, neardup, quality, secrets, sharding
 from sparkvec.llm._util import table
 
 #: The vocabulary of op8; any file of base64 tokens and ranks will do.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_sharding(spark, sf_dir):
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark, sf_dir):
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontaminate.report(found)
@@ -36,6 +40,7 @@ def op10_quality_classifier(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_sharding,
         op5_benchmark_decontamination,
         op7_simhash_neardup,
         op8_byte_bpe,
