@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -75,3 +76,13 @@ def training_labels(labels: DataFrame, column: str, max_rows: int) -> DataFrame:
 def held_out(doc_id):
     """True for ids that no label may be learnt from; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished phases.
+
+    It does so when the driver's JVM finds their plans unreachable, which on a
+    driver with little garbage may be long after the phase.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -127,3 +127,45 @@ def no_straddle(first: np.ndarray, total: int, n: int) -> np.ndarray:
         left = np.repeat(first[1:], np.diff(first)) - np.arange(total)
         ok = left >= n
     return ok
+
+
+def window_hashes(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each run of n entries: 64 bits, and 32 bits to check them.
+
+    Runs of 1, 2, 4, ... entries are combined as the binary digits of n ask, so the
+    cost grows with the logarithm of n.
+    """
+    m = max(0, len(h) - n + 1)
+    out, check, at, power, size = np.full(m, U(n)), np.full(m, U(n)), 0, h, 1
+    while size <= n:
+        if n & size:
+            part = power[at : at + m]
+            out = mix(out * U(0x9FB21C651E98DF25) ^ part)
+            check = check * U(0xA24BAED4963EE407) + mix(part + U(size))
+            at += size
+        if 2 * size <= n:
+            power = mix(power[:-size] * U(0xD6E8FEB86659FD93) ^ power[size:]) if len(power) > size else power[:0]
+        size *= 2
+    return out, mix(check) >> U(32)
+
+
+def minimizers(k: np.ndarray, width: int) -> np.ndarray:
+    """For each run of ``width`` entries the index of its least one, the first of equals."""
+    m = max(0, len(k) - width + 1)
+    best, at = k[:m].copy(), np.zeros(m, np.int64)
+    for j in range(1, width):
+        less = k[j : j + m] < best
+        best[less], at[less] = k[j : j + m][less], j
+    return at + np.arange(m)
+
+
+def joined(w: Words, keep: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The kept words of each text joined by one space: one buffer, and each text's start and end in it."""
+    size = (w.ends - w.starts)[keep]
+    place = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int((size + 1).sum()), 0x20, np.uint8)
+    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(place, size) + inner] = w.data[np.repeat(w.starts[keep], size) + inner]
+    first = np.concatenate([[0], np.cumsum(keep)])[w.first]
+    edge = np.concatenate([place, [len(out)]])[first]
+    return out.tobytes(), edge[:-1], np.maximum(edge[1:] - 1, edge[:-1])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sparkvec.llm import bpe, decontaminate, neardup, quality, secrets, sharding
+from sparkvec.llm import bpe, decontaminate, neardup, quality, secrets, sharding, substrings
 from sparkvec.llm._util import table
 
 #: The vocabulary of op8; any file of base64 tokens and ranks will do.
@@ -20,6 +20,10 @@ def op5_benchmark_decontamination(spark, sf_dir):
     return decontaminate.report(found)
 
 
+def op6_substring_dedup(spark, sf_dir):
+    return substrings.report(substrings.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op7_simhash_neardup(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     for f in (
         op1_sharding,
         op5_benchmark_decontamination,
+        op6_substring_dedup,
         op7_simhash_neardup,
         op8_byte_bpe,
         op9_secret_scans,
@@ -105,3 +110,20 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM texts LEFT JOIN of_doc USING (doc_id)
 """
+
+ORACLE_SQL["op6_substring_dedup"] = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 12], ' ')) AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM dw WHERE len(w) >= 13)),
+first AS (SELECT win, min(doc_id) AS least FROM windows GROUP BY win),
+covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM windows JOIN first USING (win) WHERE least < doc_id),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM dw),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS line
+  FROM each ANTI JOIN covered USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(line, '')) AS kept_sha256
+FROM dw LEFT JOIN kept USING (doc_id)
+"""
