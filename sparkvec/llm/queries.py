@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sparkvec.llm import bpe, decontaminate, neardup, quality, secrets, sharding, substrings, toxicity
+from sparkvec.llm import bpe, decontaminate, fingerprints, neardup, quality, secrets, sharding, substrings, toxicity
 from sparkvec.llm._util import table
 
 #: The vocabulary of op8; any file of base64 tokens and ranks will do.
@@ -15,6 +15,10 @@ def op1_sharding(spark, sf_dir):
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op2_document_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding,
+        op2_document_fingerprints,
         op4_toxicity,
         op5_benchmark_decontamination,
         op6_substring_dedup,
