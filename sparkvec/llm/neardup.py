@@ -253,19 +253,41 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, unit_rows: int = UNI
     return out
 
 
+def _classes(rows: DataFrame, least, radius: int) -> DataFrame:
+    """(fp, first): the least of ``least`` over all rows whose fingerprint fp reaches."""
+    least = rows.groupBy("fp").agg(F.min(least).alias("least"))
+    roots = components(fingerprint_links(least.select("fp"), radius))
+    by_fp = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+    of_root = by_fp.groupBy("root").agg(F.min("least").alias("first"))
+    return by_fp.join(of_root, "root").select("fp", "first")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs (doc_id, text).
 
     component_id is the least doc_id that links of at most ``radius`` bits reach.
     """
     rows = written(fingerprints(docs, shingle))
-    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(fingerprint_links(least.select("fp"), radius))
-    by_fp = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    of_root = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = by_fp.join(of_root, "root").select("fp", "component_id")
+    classes = _classes(rows, F.col("doc_id"), radius)
     return rows.join(classes, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id")
     )
+
+
+def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each class of near duplicates, all columns kept: the least id, of equal ids the least text hash.
+
+    A null id comes after all others.  Of rows equal in id and text one stays.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    rows = written(fingerprints(keyed, shingle, keep=("doc_id", "hash")))
+    chosen = _classes(rows, key, radius).select("first").distinct().select("first.doc_id", "first.hash")
+    chosen = written(chosen)
+    stay = chosen.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"))
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+    out = docs.join(stay, same, "left_semi")
+    repeated = rows.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from sparkvec.llm import bpe, decontaminate, fingerprints, neardup, quality, secrets, sharding, substrings, toxicity
+from sparkvec.llm import bpe, decontaminate, fingerprints, licenses, neardup, quality, secrets, sharding, substrings, toxicity
 from sparkvec.llm._util import table
 
 #: The vocabulary of op8; any file of base64 tokens and ranks will do.
@@ -19,6 +19,10 @@ def op2_document_fingerprints(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scans(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     for f in (
         op1_sharding,
         op2_document_fingerprints,
+        op3_license_scans,
         op4_toxicity,
         op5_benchmark_decontamination,
         op6_substring_dedup,
