@@ -2,8 +2,11 @@
 
 A window of k words is an edge from its first k - 1 to its last k - 1 words.  An
 edge that several documents walk is repeated; its source is its place in the
-smallest document.  Three joins and aggregates find them:
+smallest document.  Joins and aggregates find them:
 
+0. Copies.  Texts that repeat whole are grouped; only the smallest id of each goes
+   on, the others are cut whole.  A filter of repeated text hashes, of fixed size,
+   tells which texts take part in the grouping; all others stay where they are.
 1. Candidates.  Every window has a minimizer, the least hash among its short word
    runs, so equal windows have equal minimizers.  Tasks send sorted, truncated
    minimizer hashes; those of two documents or more set a bit of a filter.  The
@@ -19,8 +22,9 @@ A document loses the words of its spans.  Windows are judged on the input.
 
 Nulls: a null text has no words; rows with a null doc_id are neither sources nor
 cut.  Repeated ids: a document is cut only by a smaller id, never by an equal one;
-rows with one id share its spans only if their texts are equal.  Documents with
-fewer words than a window stay whole.  Other columns are not read.
+rows of one id with different texts are one document of several texts, and each is
+cut where any of them repeats.  Documents with fewer words than a window stay
+whole.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +45,10 @@ RUN = 7
 FILTER_BITS, SEND = 29, 1 << 20
 #: Bits of a minimizer hash that are sent, after those of its bucket.
 SENT = 40
+#: Bits of the filter of repeated texts at most (8 MB).
+COPY_BITS = 26
+#: End of a span that covers its document to the end.
+ALL = (1 << 31) - 1
 SPANS = "array<struct<start:int,end:int,source_doc:bigint,source_start:int>>"
 
 
@@ -118,6 +126,36 @@ def _candidates(slim: DataFrame, window: int, run: int, bits: int, buckets: int)
     return filter_.reshape(-1)
 
 
+def _without_copies(slim: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, copies): slim (doc_id, __text) less the copies of smaller ids; and (doc_id, source_doc) of those."""
+    bits = min(bits, COPY_BITS)
+    hashed = slim.withColumn("__hash", F.xxhash64("__text"))
+    again = hashed.select("__hash").groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    slot = F.shiftrightunsigned("__hash", 64 - bits)
+    marked = again.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(__hash, {64 - bits}) & 63 as int))")).alias("bits"))
+    filter_ = np.zeros(1 << (bits - 6), np.int64)
+    for row in marked.toLocalIterator():  # 2**bits bits at most
+        filter_[row.word] = row.bits
+    sent = slim.sparkSession.sparkContext.broadcast(filter_)
+
+    def select(repeated: bool):
+        def run(batches):
+            words_ = sent.value.view(U)
+            for batch in batches:
+                at = batch.column("__hash").to_numpy().view(U) >> U(64 - bits)
+                some = (words_[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == U(1)
+                yield batch.filter(pa.array(some == repeated)).drop_columns(["__hash"])
+
+        return hashed.mapInArrow(run, slim.schema)
+
+    group = select(True).groupBy("__text").agg(F.min("doc_id").alias("doc_id"))
+    first = written(group.select("doc_id", "__text"))
+    digest = F.sha2(F.col("__text").cast("binary"), 256).alias("digest")
+    sources = first.select(F.col("doc_id").alias("source_doc"), digest)
+    copies = select(True).select("doc_id", digest).join(sources, "digest").where("doc_id > source_doc").select("doc_id", "source_doc").distinct()
+    return select(False).union(first), written(copies)
+
+
 def _walks(slim: DataFrame, passing, window: int, run: int, bits: int) -> DataFrame:
     """(edge, doc_id, place) of each window that passes the filter; place: word index and check hash in one long."""
 
@@ -137,17 +175,20 @@ def _walks(slim: DataFrame, passing, window: int, run: int, bits: int) -> DataFr
                     names=["edge", "doc_id", "place"],
                 )
 
-    return slim.where("doc_id is not null").mapInArrow(run_, T.StructType([T.StructField("edge", T.LongType()), slim.schema["doc_id"], T.StructField("place", T.LongType())]))
+    return slim.mapInArrow(run_, T.StructType([T.StructField("edge", T.LongType()), slim.schema["doc_id"], T.StructField("place", T.LongType())]))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id and spans: word ranges of docs (doc_id, text) that repeat windows of smaller documents.
 
     A span is a compacted path, with the source document and the word at which the
-    path starts there.  Documents without spans have no row.
+    path starts there; a copy has one span without an end (``ALL``).  Documents
+    without spans have no row.
     """
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("__text"))
-    bits, buckets = _sizes(slim, filter_bits)
+    every = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+    bits, buckets = _sizes(every, filter_bits)
+    slim, copies = _without_copies(every, bits)
+    release(docs.sparkSession)
     passing = docs.sparkSession.sparkContext.broadcast(_candidates(slim, window, run, bits, buckets))
     release(docs.sparkSession)
     walks = _walks(slim, passing, window, run, bits)
@@ -190,7 +231,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, filter
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), spans)], names=["doc_id", "spans"])
 
     schema = T.StructType([slim.schema["doc_id"], *T._parse_datatype_string(f"spans {SPANS}").fields])
-    spans = written(walked.mapInArrow(compact, schema))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(ALL).alias("end"), F.col("source_doc").cast("long").alias("source_doc"), F.lit(0).alias("source_start")))
+    found = walked.mapInArrow(compact, schema).union(copies.select("doc_id", whole.alias("spans")))
+    spans = written(found.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     drop_table(edges)
     release(docs.sparkSession)
     return spans
@@ -208,11 +251,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, filte
                 lists, total = part.column("spans"), len(w.starts)
                 flat = lists.flatten()
                 counts = np.nan_to_num(np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), float)).astype(np.int64)
-                base = np.repeat(w.first[:-1], counts)
-                limit = np.repeat(w.first[1:], counts)
+                of = np.repeat(np.arange(part.num_rows), counts)
+                first, last = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+                valid = (last < ALL) | (np.diff(w.first)[of] >= window)  # a copy without a window stays
+                of, first, last = of[valid], first[valid], last[valid]
                 edge = np.zeros(total + 1, np.int64)
-                np.add.at(edge, np.minimum(base + flat.field(0).to_numpy(zero_copy_only=False), limit), 1)
-                np.add.at(edge, np.minimum(base + flat.field(1).to_numpy(zero_copy_only=False), limit), -1)
+                np.add.at(edge, np.minimum(w.first[of] + first, w.first[of + 1]), 1)
+                np.add.at(edge, np.minimum(w.first[of] + last, w.first[of + 1]), -1)
                 keep = np.cumsum(edge[:-1]) == 0
                 line, begin, end = joined(w, keep)
                 removed = np.diff(np.concatenate([[0], np.cumsum(~keep)])[w.first])
