@@ -14,8 +14,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _path(key: str) -> str:
-    return "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']"
+def _member(metadata: Column, key: str) -> Column:
+    if "'" in key or "\\" in key:  # no path can spell it
+        return F.try_variant_get(metadata, "$", "map<string,variant>")[key]
+    return F.try_variant_get(metadata, f"$['{key}']", "variant")
 
 
 def _spellings(value) -> list[str]:
@@ -31,7 +33,7 @@ def _spellings(value) -> list[str]:
 
 
 def equals(metadata: Column, key: str, value) -> Column:
-    found = F.try_variant_get(metadata, _path(key), "variant")
+    found = _member(metadata, key)
     if value is None:
         return found.isNull() | F.is_variant_null(found)
     return F.coalesce(F.to_json(found).isin(_spellings(value)), F.lit(False))
