@@ -34,7 +34,7 @@ from sparkvec.llm._words import steps
 #: Most labelled rows that a model is fitted on.
 MAX_ROWS = 20_000
 #: Candidates for the lexicon, and its entries at most (of a model, not of the data).
-CANDIDATES, ENTRIES = 2_000, 250
+CANDIDATES, ENTRIES = 1_000, 150
 #: Lengths of word beginnings that may be entries; fewest letters of an entry that may be misspelt.
 STEMS, FUZZY_FROM = (3, 4, 5, 6, 7, 8), 5
 #: Code points to either side in which quotation marks count, and words in which cues do.
@@ -197,7 +197,7 @@ def hits(texts: list[str], machine: Automaton, inside: np.ndarray) -> np.ndarray
 
 def features(counts: np.ndarray) -> np.ndarray:
     n, hit = np.maximum(counts[:, :1], 1), counts[:, 1:5]
-    return np.column_stack([np.ones(len(counts)), np.log1p(n) / 5, np.log1p(hit), hit > 0, np.minimum(20 * hit / n, 3), np.log1p(counts[:, 5:]), np.minimum(20 * counts[:, 5:] / n, 3)])
+    return np.column_stack([np.ones(len(counts)), np.log1p(n) / 5, np.log1p(hit), hit > 0, np.minimum(20 * hit / n, 3), np.log1p(counts[:, 5:])])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
@@ -311,12 +311,15 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_rows: int
             for batch in batches:
                 for part in steps(batch, "text", STEP_BYTES):
                     counts = hits([t or "" for t in part.column("text").to_pylist()], machine, inside)
-                    yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(list(counts), pa.list_(pa.float64()))], names=["y", "counts"])
+                    yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([c.tobytes() for c in counts.astype(np.float32)], pa.binary())], names=["y", "counts"])
 
-        rows = sample.mapInArrow(run, "y int, counts array<double>").toPandas()  # at most max_rows, of bounded width
-        if not len(rows):
+        y, counts = [], []
+        for row in sample.mapInArrow(run, "y int, counts binary").toLocalIterator():  # at most max_rows, of bounded width
+            y.append(row.y > 0)
+            counts.append(np.frombuffer(row.counts, np.float32))
+        if not y:
             return ToxicityModel(entries, machine, np.zeros(0))
-        return ToxicityModel(entries, machine, logistic(features(np.stack(rows.counts)), (rows.y > 0).to_numpy().astype(float)))
+        return ToxicityModel(entries, machine, logistic(features(np.stack(counts)), np.array(y, float)))
     finally:
         sample.unpersist()
 
