@@ -232,7 +232,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     near = near_counts(fps)
     hex_ = lambda p: F.concat(*[F.lpad(F.lower(F.hex(f"{p}{x}")), 16, "0") for x in ("hi", "lo")])
     own, other, after = ((F.col(f"{p}hi"), F.col(f"{p}lo")) for p in ("", "edited_", "next_"))
-    return pairs.join(near, ["hi", "lo"], "left").select(
+    # Only the queries meet their counts; all other rows stay where they are.
+    counted = pairs.where(asked).join(near, ["hi", "lo"], "left").select(*pairs.columns, "n_near")
+    rest = pairs.where(~asked).withColumn("n_near", F.lit(None).cast("long"))
+    return counted.unionByName(rest).select(
         "doc_id", "n_chars", "edited_sha256", hex_("").alias("fingerprint"), hex_("edited_").alias("edited_fingerprint"),
-        likeness(own, other).alias("near_edited"), likeness(own, after).alias("near_next"), F.when(asked, F.col("n_near")).alias("n_near"),
+        likeness(own, other).alias("near_edited"), likeness(own, after).alias("near_next"), "n_near",
     )
