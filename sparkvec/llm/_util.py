@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import math
 import tempfile
 import uuid
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; one longer text is a step of its own.
 STEP_BYTES = 1 << 20
+#: Temporary folders of local sessions that name none, by application.
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,13 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     Where that is unset, a local session gets a temporary folder; any other
     session must name a folder, because local disks are not shared.
     """
+    return f"{_top(spark)}/{uuid.uuid4().hex}"
+
+
+def _top(spark: SparkSession) -> str:
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        top = tempfile.mkdtemp(prefix="sparkvec-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    if top:
+        return top.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="sparkvec-")
+    return _own[app]
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -43,19 +50,14 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
 def drop_table(df: DataFrame) -> None:
     """Remove the folder of a table made by :func:`written`, once nothing reads it any more."""
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    top = _top(spark)
     jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if top and top.split(":", 1)[-1].strip("/") in folder:
+        if top.split(":", 1)[-1].strip("/") in folder:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions_for(spark: SparkSession, rows: int, rows_each: int) -> int:
-    """Shuffle partitions so that none holds many more than ``rows_each`` rows."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / rows_each))
-
-
 def training_labels(labels: DataFrame, column: str, max_rows: int) -> DataFrame:
     """At most ``max_rows`` labelled rows (doc_id, y) that may be learnt from.
 
