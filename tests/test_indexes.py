@@ -112,3 +112,25 @@ def test_hnsw_tiny(spark, tiny):
     index = hnsw.build(tiny, M=8, ef_construction=50, ef_search=50)
     assert ids(index.search([0.1, 0.1], 2)) == [10, 11]
     assert hnsw.build(tiny.limit(0)).search([0.1, 0.1], 2).count() == 0
+
+
+@pytest.mark.parametrize("kind,params", [("flat", {}), ("ivf", {"nlist": 2, "nprobe": 2}), ("hnsw", {"M": 8, "ef_construction": 50, "ef_search": 50})])
+def test_one_interface(spark, tiny, kind, params):
+    from sparkvec.operators.index import benchmark, create_index
+
+    empty = create_index(spark, kind, 2, **params)
+    assert len(empty) == 0 and empty.search([0, 0], 5).count() == 0
+    index = empty.add(tiny)
+    assert len(index) == 4 and ids(index.search([0.1, 0.1], 2)) == [10, 11] and index.get_vector(12) == [5.0, 5.0]
+    for bad in (tiny.limit(1), rows_of(spark, [[1, 2, 3]], [50]), rows_of(spark, [[1, 2], [1, 2]], [50, 50])):
+        with pytest.raises(ValueError):
+            index.add(bad)
+    left = index.remove(tiny.where("vec_id in (10, 99)").select("vec_id"))
+    assert len(left) == 3 and left.get_vector(10) is None and sorted(r.vec_id for r in left.export().collect()) == [11, 12, 13]
+    assert ids(left.search([0.1, 0.1], 2)) == [11, 12]
+    again = left.add(rows_of(spark, [[0, 0]], [10]))
+    assert ids(again.search([0.1, 0.1], 1)) == [10]
+    report = benchmark(empty, tiny, tiny.withColumnRenamed("vec_id", "qid"), 2)
+    assert report["recall"] == 1 and report["qps"] > 0
+    with pytest.raises(ValueError):
+        create_index(spark, "tree", 2)
