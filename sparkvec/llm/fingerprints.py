@@ -140,8 +140,8 @@ def _pairs(docs: DataFrame) -> DataFrame:
     heads = made.where("head is not null").select("part", "head", "next_hi", "next_lo")
     parts = heads.select("part")  # one row a partition
     by_part = W.orderBy("part")
-    following = parts.select("part", F.lead("part").over(by_part).alias("then")).crossJoin(F.broadcast(parts.agg(F.min("part").alias("first"))))
-    following = following.select("part", F.coalesce("then", "first").alias("then"))
+    # The partition after each one that has rows; after the last, the first.
+    following = parts.select("part", F.coalesce(F.lead("part").over(by_part), F.first("part").over(by_part)).alias("then"))
     ends = (
         made.where("tail is not null").select("doc_id", "part", "tail").join(following, "part")
         .join(heads.withColumnRenamed("part", "then"), "then").select("doc_id", "tail", "head", "next_hi", "next_lo")
