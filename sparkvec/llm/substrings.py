@@ -22,8 +22,8 @@ A document loses the words of its spans.  Windows are judged on the input.
 
 Nulls: a null text has no words; rows with a null doc_id are neither sources nor
 cut.  Repeated ids: a document is cut only by a smaller id, never by an equal one;
-rows of one id with different texts are one document of several texts, and each is
-cut where any of them repeats.  Documents with fewer words than a window stay
+rows of one id with different texts are told apart by a hash of the text, which is
+a second key only where an id repeats.  Documents with fewer words than a window stay
 whole.  Other columns are not read.
 """
 
@@ -127,7 +127,7 @@ def _candidates(slim: DataFrame, window: int, run: int, bits: int, buckets: int)
 
 
 def _without_copies(slim: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, copies): slim (doc_id, __text) less the copies of smaller ids; and (doc_id, source_doc) of those."""
+    """(rows, copies): slim (keys, __text) less the copies of smaller ids; and (keys, source_doc) of those."""
     bits = min(bits, COPY_BITS)
     hashed = slim.withColumn("__hash", F.xxhash64("__text"))
     again = hashed.select("__hash").groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -149,15 +149,18 @@ def _without_copies(slim: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
         return hashed.mapInArrow(run, slim.schema)
 
     group = select(True).groupBy("__text").agg(F.min("doc_id").alias("doc_id"))
-    first = written(group.select("doc_id", "__text"))
+    first = written(group.select(*[F.xxhash64("__text").alias(c) if c == "version" else c for c in slim.columns]))
     digest = F.sha2(F.col("__text").cast("binary"), 256).alias("digest")
     sources = first.select(F.col("doc_id").alias("source_doc"), digest)
-    copies = select(True).select("doc_id", digest).join(sources, "digest").where("doc_id > source_doc").select("doc_id", "source_doc").distinct()
+    keys = [c for c in slim.columns if c != "__text"]
+    copies = select(True).select(*keys, digest).join(sources, "digest").where("doc_id > source_doc").select(*keys, "source_doc").distinct()
     return select(False).union(first), written(copies)
 
 
 def _walks(slim: DataFrame, passing, window: int, run: int, bits: int) -> DataFrame:
-    """(edge, doc_id, place) of each window that passes the filter; place: word index and check hash in one long."""
+    """(edge, keys, place) of each window that passes the filter; place: word index and check hash in one long."""
+
+    keys = [c for c in slim.columns if c != "__text"]
 
     def run_(batches):
         for batch in batches:
@@ -171,26 +174,40 @@ def _walks(slim: DataFrame, passing, window: int, run: int, bits: int) -> DataFr
                 text = np.searchsorted(w.first, start, side="right") - 1
                 place = ((start - w.first[text]).astype(U) << U(32)) | check[start]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(edge[start].view(np.int64)), part.column("doc_id").take(pa.array(text)), pa.array(place.view(np.int64))],
-                    names=["edge", "doc_id", "place"],
+                    [pa.array(edge[start].view(np.int64)), *(part.column(c).take(pa.array(text)) for c in keys), pa.array(place.view(np.int64))],
+                    names=["edge", *keys, "place"],
                 )
 
-    return slim.mapInArrow(run_, T.StructType([T.StructField("edge", T.LongType()), slim.schema["doc_id"], T.StructField("place", T.LongType())]))
+    return slim.mapInArrow(run_, T.StructType([T.StructField("edge", T.LongType()), *slim.select(*keys).schema.fields, T.StructField("place", T.LongType())]))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, __text) of docs, and ``version``, a hash of the text, if some id has several rows."""
+    slim = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return slim if again.isEmpty() else slim.select("doc_id", F.xxhash64("__text").alias("version"), "__text")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id and spans: word ranges of docs (doc_id, text) that repeat windows of smaller documents.
 
+    Where ids repeat there is also ``version``, the xxhash64 of the text.
+
     A span is a compacted path, with the source document and the word at which the
     path starts there; a copy has one span without an end (``ALL``).  Documents
     without spans have no row.
     """
-    every = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+    return _spans(_keyed(docs), window, run, filter_bits)
+
+
+def _spans(keyed: DataFrame, window: int, run: int, filter_bits: int) -> DataFrame:
+    spark, every = keyed.sparkSession, keyed.where("doc_id is not null")
+    keys = [c for c in keyed.columns if c != "__text"]
     bits, buckets = _sizes(every, filter_bits)
     slim, copies = _without_copies(every, bits)
-    release(docs.sparkSession)
-    passing = docs.sparkSession.sparkContext.broadcast(_candidates(slim, window, run, bits, buckets))
-    release(docs.sparkSession)
+    release(spark)
+    passing = spark.sparkContext.broadcast(_candidates(slim, window, run, bits, buckets))
+    release(spark)
     walks = _walks(slim, passing, window, run, bits)
     edges = written(
         walks.groupBy("edge")
@@ -198,13 +215,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, filter
         .where("source.doc_id < last")
         .select("edge", F.col("source.doc_id").alias("source_doc"), F.col("source.place").alias("source_place"), "n")
     )
-    release(docs.sparkSession)
+    release(spark)
     same = (F.col("place").bitwiseAND(0xFFFFFFFF)) == (F.col("source_place").bitwiseAND(0xFFFFFFFF))
     steps_ = walks.join(edges, "edge").where((F.col("doc_id") > F.col("source_doc")) & same)
     high = lambda c: F.shiftrightunsigned(c, 32).cast("int")
     walked = (
-        steps_.select("doc_id", F.struct(high("place").alias("at"), "source_doc", high("source_place").alias("source"), "n").alias("step"))
-        .groupBy("doc_id")
+        steps_.select(*keys, F.struct(high("place").alias("at"), "source_doc", high("source_place").alias("source"), "n").alias("step"))
+        .groupBy(*keys)
         .agg(F.collect_list("step").alias("steps"))  # no more steps than the document has words
     )
 
@@ -228,21 +245,22 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, filter
                     names=["start", "end", "source_doc", "source_start"],
                 )
                 bounds = np.searchsorted(of[first], np.arange(len(lists) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), spans)], names=["doc_id", "spans"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), pa.ListArray.from_arrays(pa.array(bounds), spans)], names=[*keys, "spans"])
 
-    schema = T.StructType([slim.schema["doc_id"], *T._parse_datatype_string(f"spans {SPANS}").fields])
+    schema = T.StructType([*slim.select(*keys).schema.fields, *T._parse_datatype_string(f"spans {SPANS}").fields])
     whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(ALL).alias("end"), F.col("source_doc").cast("long").alias("source_doc"), F.lit(0).alias("source_start")))
-    found = walked.mapInArrow(compact, schema).union(copies.select("doc_id", whole.alias("spans")))
-    spans = written(found.groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    found = walked.mapInArrow(compact, schema).union(copies.select(*keys, whole.alias("spans")))
+    spans = written(found.groupBy(*keys).agg(F.flatten(F.collect_list("spans")).alias("spans")))
     drop_table(edges)
-    release(docs.sparkSession)
+    release(spark)
     return spans
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, n_words, n_removed and ``kept``, the words that stay, of every row of docs (doc_id, text)."""
-    spans = repeated_spans(docs, window, run, filter_bits)
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("__text")).join(spans, "doc_id", "left")
+    keyed = _keyed(docs)
+    spans = _spans(keyed, window, run, filter_bits)
+    slim = keyed.join(spans, [c for c in keyed.columns if c != "__text"], "left")
 
     def run_(batches):
         for batch in batches:

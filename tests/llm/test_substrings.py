@@ -60,3 +60,10 @@ def test_spans_name_their_source(spark):
     assert set(spans) == {2, 3}
     assert [(x.start, x.end, x.source_doc, x.source_start) for x in spans[2]] == [(3, 28, 1, 5)]
     assert [(x.start, x.end, x.source_doc) for x in spans[3]] == [(0, s.ALL, 1)]
+
+
+def test_rows_of_one_id(spark):
+    ab, cd = " ".join("abcdefghijklmnopqrst"), " ".join("ABCDEFGHIJKLMNOPQRST")
+    rows = [(1, ab), (2, ab), (2, "zz " + cd), (2, "zz " + cd), (2, f"{cd} {ab}"), (3, cd), (3, "q"), (None, ab)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert digest(s.without_repeats(df, filter_bits=16)) == brute(rows, 13)
