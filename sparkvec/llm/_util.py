@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,7 +85,10 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished phases.
 
     It does so when the driver's JVM finds their plans unreachable, which on a
-    driver with little garbage may be long after the phase.
+    driver with little garbage may be long after the phase.  A plan goes in two
+    collections: the first lets go of what the plan's last job still refers to.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

@@ -42,7 +42,7 @@ WINDOW = 13
 #: Words of the runs from which minimizers are taken.
 RUN = 7
 #: Bits of the candidate filter at most (64 MB), and minimizers that a task sends at once.
-FILTER_BITS, SEND = 29, 1 << 20
+FILTER_BITS, SEND = 29, 1 << 19
 #: Bits of a minimizer hash that are sent, after those of its bucket.
 SENT = 40
 #: Bits of the filter of repeated texts at most (8 MB).
@@ -70,9 +70,11 @@ def _minimized(part: pa.RecordBatch, window: int, run: int):
     return w, h, start, at[start], k
 
 
-def _candidates(slim: DataFrame, window: int, run: int, bits: int, buckets: int) -> np.ndarray:
+def _candidates(rows: DataFrame, marks, window: int, run: int, bits: int, buckets: int) -> np.ndarray:
     """The filter: a bitmap by the top ``bits`` of a minimizer, set where two documents or more have one."""
 
+    copy_bits = min(bits, COPY_BITS)
+
     def send(held: list[tuple[np.ndarray, np.ndarray]]):
         a = np.concatenate([x for x, _ in held])
         doc = np.concatenate([x for _, x in held])
@@ -92,6 +94,7 @@ def _candidates(slim: DataFrame, window: int, run: int, bits: int, buckets: int)
     def scatter(batches):
         held, rows, docs = [], 0, 0
         for batch in batches:
+            batch = batch.filter(pa.array(~_repeats(batch, marks.value, copy_bits)))
             for part in steps(batch, "__text", STEP_BYTES):
                 w, _, start, at, k = _minimized(part, window, run)
                 at, which = np.unique(at, return_index=True)
@@ -118,7 +121,7 @@ def _candidates(slim: DataFrame, window: int, run: int, bits: int, buckets: int)
         bitmap[slots.astype(np.int64)] = True
         return pa.table({"bucket": group.column("bucket")[:1], "bitmap": pa.array([np.packbits(bitmap).tobytes()], pa.binary())})
 
-    sent = slim.select("__text").mapInArrow(scatter, "bucket int, once binary, more binary")
+    sent = rows.select("__text", "__hash").mapInArrow(scatter, "bucket int, once binary, more binary")
     made = sent.groupBy("bucket").applyInArrow(gather, "bucket int, bitmap binary")
     filter_ = np.zeros((1 << buckets, 1 << (bits - buckets - 3)), np.uint8)
     for row in made.toLocalIterator():  # 2**bits bits in all, however large the input
@@ -126,44 +129,54 @@ def _candidates(slim: DataFrame, window: int, run: int, bits: int, buckets: int)
     return filter_.reshape(-1)
 
 
-def _without_copies(slim: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, copies): slim (keys, __text) less the copies of smaller ids; and (keys, source_doc) of those."""
+def _repeats(batch: pa.RecordBatch, filter_: np.ndarray, bits: int) -> np.ndarray:
+    """True for the rows of a batch whose text hash is marked; false for one without a hash."""
+    hashes = batch.column("__hash")
+    at = hashes.fill_null(0).to_numpy().view(U) >> U(64 - bits)
+    marked = (filter_.view(U)[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == U(1)
+    return marked & hashes.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _without_copies(slim: DataFrame, bits: int):
+    """(rows, marks, copies): the work of step 0 on slim (keys, __text).
+
+    rows are slim with a hash, and the first of each repeated text without one; those
+    that :func:`_repeats` by the broadcast marks are to be passed over.  copies are
+    (keys, source_doc) of the texts that are not first.
+    """
     bits = min(bits, COPY_BITS)
     hashed = slim.withColumn("__hash", F.xxhash64("__text"))
-    again = hashed.select("__hash").groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counts = hashed.select("__hash").groupBy("__hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     slot = F.shiftrightunsigned("__hash", 64 - bits)
-    marked = again.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(__hash, {64 - bits}) & 63 as int))")).alias("bits"))
+    marked = counts.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(__hash, {64 - bits}) & 63 as int))")).alias("bits"))
     filter_ = np.zeros(1 << (bits - 6), np.int64)
     for row in marked.toLocalIterator():  # 2**bits bits at most
         filter_[row.word] = row.bits
     sent = slim.sparkSession.sparkContext.broadcast(filter_)
 
-    def select(repeated: bool):
-        def run(batches):
-            words_ = sent.value.view(U)
-            for batch in batches:
-                at = batch.column("__hash").to_numpy().view(U) >> U(64 - bits)
-                some = (words_[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == U(1)
-                yield batch.filter(pa.array(some == repeated)).drop_columns(["__hash"])
-
-        return hashed.mapInArrow(run, slim.schema)
+    def whole(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_repeats(batch, sent.value, bits))).drop_columns(["__hash"])
 
-    group = select(True).groupBy("__text").agg(F.min("doc_id").alias("doc_id"))
+    again = hashed.mapInArrow(whole, slim.schema)
+    group = again.groupBy("__text").agg(F.min("doc_id").alias("doc_id"))
     first = written(group.select(*[F.xxhash64("__text").alias(c) if c == "version" else c for c in slim.columns]))
     digest = F.sha2(F.col("__text").cast("binary"), 256).alias("digest")
     sources = first.select(F.col("doc_id").alias("source_doc"), digest)
     keys = [c for c in slim.columns if c != "__text"]
-    copies = select(True).select(*keys, digest).join(sources, "digest").where("doc_id > source_doc").select(*keys, "source_doc").distinct()
-    return select(False).union(first), written(copies)
+    copies = again.select(*keys, digest).join(sources, "digest").where("doc_id > source_doc").select(*keys, "source_doc").distinct()
+    rest = hashed.union(first.withColumn("__hash", F.lit(None).cast("long")))
+    return rest, sent, written(copies)
 
 
-def _walks(slim: DataFrame, passing, window: int, run: int, bits: int) -> DataFrame:
+def _walks(slim: DataFrame, marks, passing, window: int, run: int, bits: int) -> DataFrame:
     """(edge, keys, place) of each window that passes the filter; place: word index and check hash in one long."""
 
-    keys = [c for c in slim.columns if c != "__text"]
+    keys, copy_bits = [c for c in slim.columns if c not in ("__text", "__hash")], min(bits, COPY_BITS)
 
     def run_(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(~_repeats(batch, marks.value, copy_bits)))
             for part in steps(batch, "__text", STEP_BYTES):
                 w, h, start, at, k = _minimized(part, window, run)
                 slot = k[at] >> U(64 - bits)
@@ -204,11 +217,11 @@ def _spans(keyed: DataFrame, window: int, run: int, filter_bits: int) -> DataFra
     spark, every = keyed.sparkSession, keyed.where("doc_id is not null")
     keys = [c for c in keyed.columns if c != "__text"]
     bits, buckets = _sizes(every, filter_bits)
-    slim, copies = _without_copies(every, bits)
+    slim, marks, copies = _without_copies(every, bits)
     release(spark)
-    passing = spark.sparkContext.broadcast(_candidates(slim, window, run, bits, buckets))
+    passing = spark.sparkContext.broadcast(_candidates(slim, marks, window, run, bits, buckets))
     release(spark)
-    walks = _walks(slim, passing, window, run, bits)
+    walks = _walks(slim, marks, passing, window, run, bits)
     edges = written(
         walks.groupBy("edge")
         .agg(F.min(F.struct("doc_id", "place")).alias("source"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
