@@ -34,7 +34,7 @@ from sparkvec.llm._words import steps
 #: Most labelled rows that a model is fitted on.
 MAX_ROWS = 20_000
 #: Candidates for the lexicon, and its entries at most (of a model, not of the data).
-CANDIDATES, ENTRIES = 1_000, 150
+CANDIDATES, ENTRIES = 1_000, 80
 #: Lengths of word beginnings that may be entries; fewest letters of an entry that may be misspelt.
 STEMS, FUZZY_FROM = (3, 4, 5, 6, 7, 8), 5
 #: Code points to either side in which quotation marks count, and words in which cues do.
@@ -86,7 +86,8 @@ def compile_automaton(entries: list[str], cues: tuple[str, ...] = CUES, fuzzy_fr
         whose[at].setdefault(kind, i)
     alphabet = sorted({c for node in children for c in node if ord(c) < 65536})
     letters = np.zeros(65536, np.int16)
-    for i, c in enumerate(alphabet, 1):
+    place = {c: i for i, c in enumerate(alphabet, 1)}
+    for c, i in place.items():
         letters[ord(c)] = i
 
     def closed(states):
@@ -129,12 +130,14 @@ def compile_automaton(entries: list[str], cues: tuple[str, ...] = CUES, fuzzy_fr
     number, order, step = {frozenset(): 0, start: 1}, [frozenset(), start], []
     for states in order:
         row = []
-        for letter in ["", *alphabet]:
+        # A letter that no node of the set goes on with does what any other letter does.
+        for letter in ["", *sorted({c for node, _ in states for c in children[node] if c in place})]:
             then = after(states, letter)
             if then not in number:
                 number[then] = len(order)
                 order.append(then)
-            row.append(number[then])
+            row = row or [number[then]] * (len(alphabet) + 1)
+            row[place.get(letter, 0)] = number[then]
         step.append(row)
     out = [output(s) for s in order]
     return Automaton(letters, np.array(step, np.int32), np.array([o[0] for o in out], np.int8), np.array([o[1] for o in out], np.int32), len(entries))
@@ -293,10 +296,10 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
         gain = odds * (weight @ has) / size
         gain[chosen] = 0
         i = int(gain.argmax())
-        if gain[i] < 6:
+        if gain[i] < 10:
             break
         chosen.append(i)
-        weight[has[:, i] > 0] *= 0.6
+        weight[has[:, i] > 0] *= 0.4
     return [tokens[i] for i in chosen]
 
 
