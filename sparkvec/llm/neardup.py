@@ -10,6 +10,11 @@ prefixes within the budget) until each unit holds a bounded number of
 fingerprints; the lower levels run inside one task a unit, with a frontier of
 bounded size.  A unit returns a spanning forest of its links, never all pairs.
 
+The pipeline's stage asks for edited copies, five-word shingles with a Jaccard
+similarity of 0.8 or more.  Their fingerprints differ in about ten bits, which no
+trie can prune, so ``deduplicated`` finds candidates by bands of least hashes and
+compares their shingle sets.
+
 Nulls: a null text has no words and so fingerprint zero; null ids are ignored
 when the least id is chosen.  Repeated rows keep their rows.  Other columns are
 not read.
@@ -22,11 +27,12 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from sparkvec.llm._util import STEP_BYTES, written
-from sparkvec.llm._words import SPACED, U, steps, text_buffer, words
+from sparkvec.llm._words import SPACED, U, mix, no_straddle, sequence_hashes, steps, text_buffer, words
 from sparkvec.llm.components import components
 
 SHINGLE = 3
@@ -36,6 +42,12 @@ RADIUS = 3
 UNIT_ROWS = 1 << 16
 #: Node pairs expanded at once within a unit.
 FRONTIER = 1 << 18
+#: Word shingles and Jaccard similarity of the pipeline's stage.
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
+#: Least hashes by which candidates are found: a pair at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
+BANDS, BAND_ROWS = 32, 4
+#: Texts, and shingles, of a block of candidates that are compared in one task.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
 _LANES = U(0x0101010101010101)
 
 
@@ -253,10 +265,10 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, unit_rows: int = UNI
     return out
 
 
-def _classes(rows: DataFrame, least, radius: int) -> DataFrame:
-    """(fp, first): the least of ``least`` over all rows whose fingerprint fp reaches."""
+def _classes(rows: DataFrame, least, links) -> DataFrame:
+    """(fp, first): the least of ``least`` over all rows whose fingerprint fp reaches by ``links`` (a function of them)."""
     least = rows.groupBy("fp").agg(F.min(least).alias("least"))
-    roots = components(fingerprint_links(least.select("fp"), radius))
+    roots = components(links(least))
     by_fp = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -270,21 +282,151 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     component_id is the least doc_id that links of at most ``radius`` bits reach.
     """
     rows = written(fingerprints(docs, shingle))
-    classes = _classes(rows, F.col("doc_id"), radius)
+    classes = _classes(rows, F.col("doc_id"), lambda fps: fingerprint_links(fps.select("fp"), radius))
     return rows.join(classes, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id")
     )
 
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def shingle_hashes(data: np.ndarray, bounds: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text of a buffer: the hashes of its word shingles, where they begin, and a hash of its lower-case words.
+
+    A text of fewer words is one shingle; a text without words has none, and hash zero.
+    """
+    w = words(data, bounds, SPACED, lower=True)
+    h, n = w.hashes(), np.diff(w.first)
+    place = np.arange(len(h)) - np.repeat(w.first[:-1], n)
+    some = np.flatnonzero(n)
+    whole = np.zeros(len(n), U)
+    if len(some):
+        whole[some] = mix(np.add.reduceat(mix(h ^ mix(place.astype(U) + U(1))), w.first[some]))
+    short = np.flatnonzero((n > 0) & (n < shingle))
+    first = np.concatenate([[0], np.cumsum(np.where(n < shingle, np.minimum(n, 1), n - shingle + 1))])
+    runs = np.zeros(first[-1], U)
+    full = np.ones(len(runs), bool)
+    full[first[short]] = False
+    runs[full] = sequence_hashes(h, shingle)[no_straddle(w.first, len(h), shingle)[: max(0, len(h) - shingle + 1)]]
+    runs[first[short]] = whole[short]
+    return runs, first, whole
+
+
+def band_keys(runs: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """BANDS keys of each set runs[first[i]:first[i + 1]] that is not empty: equal where a band of least hashes is equal."""
+    some = first[:-1][np.diff(first) > 0]
+    out = np.empty((len(some), BANDS), U)
+    if not len(some):
+        return out
+    # Odd factors of a fixed sequence: each puts the hashes in another order.
+    factors = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=U)) | U(1)
+    for band in range(BANDS):
+        key = np.full(len(some), U(band))
+        for row in range(BAND_ROWS):
+            key = mix(key * U(0x9FB21C651E98DF25) ^ np.minimum.reduceat(runs * factors[band * BAND_ROWS + row], some))
+        out[:, band] = key
+    return out
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float, left: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (i, j) of sets with at least that Jaccard similarity, j < i; j < left <= i if 0 < left."""
+    size = np.array([len(x) for x in sets])
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = n > 1
+    narrow = (np.cumsum(shared) - 1)[column]
+    keep = shared[column]
+    narrow, row = narrow[keep], row[keep]
+    order = np.argsort(narrow, kind="stable")
+    narrow, row = narrow[order], row[order]
+    left_end, right_from = (left, left) if left else (len(sets), 0)
+    common = np.zeros((len(sets) - right_from, left_end))
+    for at in range(0, int(shared.sum()), 4096):
+        a, z = np.searchsorted(narrow, [at, at + 4096])
+        grid = np.zeros((len(sets), min(4096, int(shared.sum()) - at)), np.float32)
+        grid[row[a:z], narrow[a:z] - at] = 1
+        common += grid[right_from:] @ grid[:left_end].T
+    either = size[right_from:, None] + size[None, :left_end] - common
+    i, j = np.nonzero(common >= similarity * either - 1e-9)
+    i = i + right_from
+    return i[j < i], j[j < i]
+
+
+def shingle_links(docs: DataFrame, rows: DataFrame, least: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Links (u, v) between the texts ``fp`` of rows (fp, bands) whose shingle sets are similar enough.
+
+    Texts that share a band of least hashes are candidates; their connected groups
+    are cut in blocks of bounded size, and a task compares the whole shingle sets
+    of two blocks.  least (fp, least) names one row of docs for each text.
+    """
+    keys = rows.select("fp", "bands").dropDuplicates(["fp"]).select("fp", F.explode("bands").alias("key"))
+    met = keys.withColumn("v", F.min("fp").over(Window.partitionBy("key"))).where("fp <> v")
+    groups = components(met.select(F.col("fp").alias("u"), "v"))
+    members = groups.join(rows.select("fp", "n").dropDuplicates(["fp"]), groups["node"] == F.col("fp")).select("fp", "root", "n")
+    blocks = members.groupBy("root").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    )
+    asked = members.join(blocks, "root").join(least, "fp").select("fp", "root", "blocks", F.col("least.doc_id").alias("__id"), F.col("least.hash").alias("__hash"))
+    own = docs.select("doc_id", F.col("text").cast("string").alias("__text"), F.xxhash64("text").alias("hash"))
+    texts = own.join(asked, own["doc_id"].eqNullSafe(F.col("__id")) & (own["hash"] == F.col("__hash")))
+
+    def sets(batches):
+        for batch in batches:
+            for part in steps(batch, "__text", STEP_BYTES):
+                runs, first, _ = shingle_hashes(*text_buffer(part.column("__text")), shingle)
+                each = [np.unique(runs[a:z]).view(np.int64) for a, z in itertools.pairwise(first)]
+                columns = [part.column(c) for c in ("fp", "root", "blocks")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(each, pa.list_(pa.int64()))], names=["fp", "root", "blocks", "set"])
+
+    found = texts.select("fp", "root", "blocks", "__text").mapInArrow(sets, "fp long, root long, blocks int, set array<long>")
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    dealt = found.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("root", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "fp", "set")
+
+    def run(key, group):
+        group = group.combine_chunks()
+        mine = group.column("mine").to_numpy()
+        fps = group.column("fp").to_numpy()
+        # A row read twice, of equal id and text, counts once.
+        _, once = np.unique(fps, return_index=True)
+        once = once[np.argsort(mine[once], kind="stable")]
+        left = int((mine[once] == key[1].as_py()).sum()) if key[1] != key[2] else 0
+        if len(once) < 2 or left == len(once) or (not left and key[1] != key[2]):
+            none = np.zeros(0, np.int64)
+            return pa.table({"u": none, "v": none})
+        listed = group.column("set")
+        i, j = similar_pairs([listed[int(k)].values.to_numpy() for k in once], similarity, left)
+        forest = Forest(len(once))
+        forest.link(i, j)
+        linked = np.flatnonzero(forest.root != np.arange(len(once)))
+        fps = fps[once]
+        return pa.table({"u": fps[linked], "v": fps[forest.root[linked]]})
+
+    return dealt.groupBy("root", "a", "b").applyInArrow(run, "u long, v long")
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE) -> DataFrame:
     """One row of each class of near duplicates, all columns kept: the least id, of equal ids the least text hash.
 
-    A null id comes after all others.  Of rows equal in id and text one stays.
+    A class is what links of texts reach whose sets of word shingles have at least
+    that Jaccard similarity.  A null id comes after all others.  Of rows equal in
+    id and text one stays.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
-    rows = written(fingerprints(keyed, shingle, keep=("doc_id", "hash")))
-    chosen = _classes(rows, key, radius).select("first").distinct().select("first.doc_id", "first.hash")
+    keyed = docs.select("doc_id", F.col("text").cast("string").alias("__text"), F.xxhash64("text").alias("hash"))
+
+    def run(batches):
+        for batch in batches:
+            for part in steps(batch, "__text", STEP_BYTES):
+                runs, first, whole = shingle_hashes(*text_buffer(part.column("__text")), shingle)
+                n = np.diff(first)
+                offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))])
+                bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(band_keys(runs, first).ravel().view(np.int64)))
+                columns = [part.column("doc_id"), part.column("hash"), pa.array(whole.view(np.int64)), pa.array(n.astype(np.int64)), bands]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "fp", "n", "bands"])
+
+    kept = keyed.select("doc_id", "hash").schema
+    rows = written(keyed.mapInArrow(run, kept.add("fp", "long").add("n", "long").add("bands", ArrayType(LongType()))))
+    classes = _classes(rows, key, lambda least: shingle_links(docs, rows, least, similarity, shingle))
+    chosen = classes.select("first").distinct().select("first.doc_id", "first.hash")
     chosen = written(chosen)
     stay = chosen.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"))
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))

@@ -70,3 +70,38 @@ def test_one_of_each_class_stays(spark, docs, clashing):
     kept = nd.deduplicated(clashing)
     assert kept.columns == clashing.columns
     assert sorted(repr((r.doc_id, bool(r.text))) for r in kept.collect()) == sorted(map(repr, [(1, True), (3, False), (5, True), (6, True), (7, True), (None, True), (8, True)]))
+
+
+def jaccard(a, b):
+    """Similarity of the sets of five-word shingles."""
+    sets = []
+    for text in (a, b):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_edited_copies_go_and_clean_documents_stay(spark, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 4, 8):
+            copy = list(base)
+            for i in rng.choice(120, edits, replace=False):
+                copy[i] = "edited"
+            texts.append(" ".join(copy))
+    texts += ["one two three", "One two  three", "one two four", "a b c d e f", "a b c d e g", None, ""]
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    expected = [i for i in range(len(texts)) if find(i) == i]
+    assert 20 < len(expected) < len(texts) - 15
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in nd.deduplicated(df).collect()) == expected

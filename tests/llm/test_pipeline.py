@@ -55,3 +55,19 @@ def test_stages_against_brute_force(spark):
             assert got[d].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
         else:
             assert got[d].decoded_sha256 != hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_edited_copies_do_not_reach_the_tokens(spark):
+    """The near-dedup stage against all pairs: five-word shingles, similarity 0.8."""
+    from tests.llm.test_neardup import jaccard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 4000")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    root = {d: d for d, _ in rows}
+    find = lambda d: d if root[d] == d else find(root[d])
+    for i, (d, a) in enumerate(rows):
+        for e, b in rows[:i]:
+            if 0.75 < (len(a) + 1) / (len(b) + 1) < 1.34 and jaccard(a, b) >= 0.8:
+                root[max(find(d), find(e))] = min(find(d), find(e))
+    stage = corpus_pipeline.drop_near_duplicates
+    assert {r.doc_id for r in stage(spark, docs, SF).collect()} == {d for d, _ in rows if find(d) == d}
