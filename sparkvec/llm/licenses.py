@@ -1,6 +1,7 @@
 """Operator 3: licence scans by a trained paragraph classifier; DataFrame functions only.
 
-A paragraph is a line.  Its words and word pairs are the features of a sparse
+A paragraph is a line, and a notice that is wrapped over consecutive non-blank
+lines is found by the words of its lines together, under its first line.  Its words and word pairs are the features of a sparse
 softmax regression over licence families and "none", which the driver trains on
 variants of the templates below and on a bounded sample of corpus paragraphs.
 Features that ordinary paragraphs have as well are dropped, so a paragraph without
@@ -19,7 +20,9 @@ stay; other columns are not read.  On an empty corpus the templates still train.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import operator
 from dataclasses import dataclass
 
 import numpy as np
@@ -169,7 +172,7 @@ def paragraphs(docs: DataFrame, model: LicenseModel, keep: tuple[str, ...] = ("d
     size = len(model.families)
     anchors = _array(model.anchors, "string")
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("line"), _tokens(x).alias("words")))
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("line"), _tokens(x).alias("words"), (F.trim(x) == "").alias("blank")))
     live = F.filter(numbered, lambda x: F.arrays_overlap(x["words"], anchors))
     live = F.when(F.arrays_overlap(_tokens(F.col("text").cast("string")), anchors), live)
     vocabulary = F.array(*[F.struct(F.lit(g).alias("gram"), _array([float(v) for v in w], "double").alias("w")) for g, w in model.weights.items()])
@@ -187,20 +190,53 @@ def paragraphs(docs: DataFrame, model: LicenseModel, keep: tuple[str, ...] = ("d
         none = F.exp(F.element_at(s, size) - top) / total
         family = F.element_at(_array(model.families, "string"), F.array_position(licensed, best).cast("int"))
         shares = [F.when(family == f, F.size(F.array_intersect(x["words"], _array(sorted(set(t)), "string"))) / F.lit(float(len(set(t))))).otherwise(0.0) for f, t in model.templates]
-        return F.struct(x["line"].alias("line"), family.alias("family"), (F.exp(best - top) / total).alias("p"), none.alias("none"), F.greatest(*shares).alias("share"))
+        return F.struct(x["line"].alias("line"), family.alias("family"), (F.exp(best - top) / total).alias("p"), none.alias("none"), F.greatest(*shares).alias("share"), x["last"].alias("last"))
 
     # Each step is a transform of its own, so that what the next one uses often is computed once.
-    cut = F.transform(live, lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), _grams(x["words"]).alias("grams")))
-    with_scores = F.transform(cut, lambda x: F.struct(x["line"].alias("line"), x["words"].alias("words"), scores(x["grams"]).alias("s")))
-    scored = F.transform(with_scores, judged)
-    sure = lambda x: (x["p"] >= model.least) & (x["share"] >= CONFIRM)
+    def scored(texts: Column) -> Column:
+        cut = F.transform(texts, lambda x: x.withField("grams", _grams(x["words"])))
+        return F.transform(F.transform(cut, lambda x: x.withField("s", scores(x["grams"]))), judged)
+
+    sure = lambda x: (x["none"] < 0.5) & (x["p"] >= model.least) & (x["share"] >= CONFIRM)
+    n = F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long")
+    alone = docs.select(*keep, n.alias("n_paragraphs"), F.when(live.isNotNull(), numbered).alias("__lines"), scored(F.transform(live, lambda x: x.withField("last", x["line"]))).alias("__alone"))
+
+    # A block ends at a blank line and at a confirmed one; lines without words do not count.
+    done = F.transform(F.filter("__alone", sure), lambda x: x["line"])
+    rest = F.transform("__lines", lambda x: F.struct(x["line"].alias("line"), F.array_remove(x["words"], "").alias("words"), (x["blank"] | F.array_contains(done, x["line"])).alias("ends")))
+    alone = alone.withColumn("__rest", F.filter(rest, lambda x: x["ends"] | (F.size(x["words"]) > 0)))
+
+    # From each line on as many lines as hold the longest template, wherever in its first line it begins.
+    longest = max(len(t) for _, t in model.templates)
+
+    def window(x: Column, i: Column) -> Column:
+        start = F.struct(x["line"].alias("line"), x["line"].alias("last"), x["words"].alias("words"), F.lit(0).alias("more"), F.lit(True).alias("open"))
+
+        def grow(acc: Column, y: Column) -> Column:
+            on = acc["open"] & ~y["ends"] & (acc["more"] < longest)
+            return F.struct(
+                acc["line"].alias("line"), F.when(on, y["line"]).otherwise(acc["last"]).alias("last"), F.when(on, F.concat(acc["words"], y["words"])).otherwise(acc["words"]).alias("words"),
+                F.when(on, acc["more"] + F.size(y["words"])).otherwise(acc["more"]).alias("more"), on.alias("open"),
+            )
+
+        return F.when(~x["ends"], F.aggregate(F.slice("__rest", i + 2, F.lit(longest)), start, grow))
+
+    confirmed = [F.array(*[F.lit(w) for w in sorted(set(t))]) for _, t in model.templates]
+    able = lambda x: functools.reduce(operator.or_, [F.size(F.array_intersect(x["words"], t)) >= CONFIRM * F.size(t) for t in confirmed])
+    windows = F.filter(F.transform("__rest", window), lambda x: x.isNotNull() & (x["last"] > x["line"]) & F.arrays_overlap(x["words"], anchors) & able(x))
+    blocks = alone.withColumn("__windows", windows).withColumn("__blocks", F.filter(scored(F.col("__windows")), sure))
+    # Of overlapping windows of one family the fullest is the notice, the last of equals.
+    better = lambda x, y: (y["family"] == x["family"]) & (y["line"] <= x["last"]) & (x["line"] <= y["last"]) & ((y["share"] > x["share"]) | (y["share"] == x["share"]) & (y["line"] > x["line"]))
+    blocks = blocks.withColumn("__blocks", F.filter("__blocks", lambda x: ~F.exists("__blocks", lambda y: better(x, y))))
+    # Lines that a block explains are not licences of their own.
+    part = lambda x: F.exists("__blocks", lambda y: (x["line"] >= y["line"]) & (x["line"] <= y["last"]) & (x["family"] == y["family"]))
+    single = F.filter("__alone", lambda x: (x["none"] < 0.5) & (sure(x) | ~part(x)))
     found = F.transform(
-        F.filter(scored, lambda x: x["none"] < 0.5),
+        F.array_sort(F.concat(single, F.col("__blocks"))),
         lambda x: F.struct(x["line"].alias("line"), F.when(sure(x), x["family"]).otherwise("unknown").alias("family"), F.round(x["p"], 6).alias("p"), F.round(x["share"], 6).alias("share")),
     )
     kind = "array<struct<line:int,family:string,p:double,share:double>>"
-    n = F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long")
-    return docs.select(*keep, n.alias("n_paragraphs"), F.coalesce(found, F.array().cast(kind)).alias("found"))
+    return blocks.select(*keep, "n_paragraphs", F.coalesce(found, F.array().cast(kind)).alias("found"))
 
 
 def scan(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

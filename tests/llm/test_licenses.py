@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 
 from sparkvec.llm import licenses
@@ -38,3 +40,19 @@ def test_scores_equal_plain_arithmetic(spark, model):
     rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
     p = licenses.paragraphs(rows, model).first().found[0].p
     assert p == pytest.approx(model.probabilities(text.lower().split())[model.families.index("gpl")], abs=1e-5)
+
+
+def test_wrapped_notices(spark, model):
+    """Standard notices wrapped at two widths, in a block of their own and as a comment with more text."""
+    whole = [(family, t) for family, templates in licenses.TEMPLATES.items() for t in templates if len(t) > 100]
+    texts, expected = [], []
+    for width in (30, 75):
+        for family, t in whole:
+            lines = textwrap.wrap(t, width)
+            texts += ["The old house.\n\n" + "\n".join(lines) + "\n\nThe long road.", "\n".join(f" * {x}" for x in lines) + "\n * Nobody can say how old the house is."]
+            expected += [(family, 2), (family, 0)]
+    texts.append("\n\n".join(textwrap.wrap(licenses.TEMPLATES["mit"][1], 30)))
+    got = families(spark, model, texts)
+    for i, (family, line) in enumerate(expected):
+        assert [x for x in got[i] if x[1] != "unknown"] == [(line, family)], (texts[i], got[i])
+    assert "mit" not in [f for _, f in got[len(expected)]]
