@@ -76,6 +76,17 @@ def training_labels(labels: DataFrame, column: str, max_rows: int) -> DataFrame:
     )
 
 
+def sampled(docs: DataFrame, labels: DataFrame, column: str, max_rows: int) -> DataFrame:
+    """(doc_id, y, text) of the chosen labelled documents: at most ``max_rows`` rows, one an id.
+
+    Of several rows of an id the one whose text has the least hash counts, however many there are.
+    """
+    chosen = training_labels(labels, column, max_rows)  # max_rows pairs of numbers
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = own.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return one.select("doc_id", "y", "least.text")
+
+
 def held_out(doc_id):
     """True for ids that no label may be learnt from; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

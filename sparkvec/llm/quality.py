@@ -7,10 +7,12 @@ equations, and the driver adds one matrix of fixed size a partition and solves.
 Scores are calibrated by isotonic regression (pool adjacent violators) on
 further folds, and interpolated between the pools, so they keep their order.
 
-Labels are learnt from at most ``max_rows`` rows that are not held out; every
-document is scored in one pass without a shuffle.  A null text is an empty one,
-and an empty text has a score like any other.  Without labels the score is 0.5.
-Repeated rows stay; other columns are neither read nor changed.
+Labels are learnt from at most ``max_rows`` rows that are not held out, one for each
+labelled id (of several rows, the one of the least text hash); every document is
+scored in one pass without a shuffle, whole texts however long.  A null text is an
+empty one, and an empty text has a score like any other.  Without labels the score
+is 0.5, and a table without rows gives none.  Equal texts score alike; repeated rows
+stay; other columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvec.llm._util import STEP_BYTES, held_out, training_labels
+from sparkvec.llm._util import STEP_BYTES, held_out, sampled
 from sparkvec.llm._words import SPACED, no_straddle, sequence_hashes, steps, text_buffer, words
 
 #: Most labelled rows that a model is fitted on.
@@ -144,9 +146,8 @@ class KernelModel:
 
 def _sample(docs: DataFrame, labels: DataFrame, column: str, max_rows: int) -> DataFrame:
     """(fold, y, x) of the labelled documents that are learnt from; at most ``max_rows`` distinct ids."""
-    chosen = training_labels(labels, column, max_rows)
-    few = docs.select("doc_id", F.col("text").cast("string").alias("__text")).join(F.broadcast(chosen), "doc_id")
-    few = few.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).alias("fold"), "y", "__text")
+    few = sampled(docs, labels, column, max_rows)
+    few = few.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)).alias("fold"), "y", F.col("text").alias("__text"))
 
     def run(batches):
         for batch in batches:

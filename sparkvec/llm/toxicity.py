@@ -2,18 +2,21 @@
 
 The lexicon is learnt: words and word beginnings that a bounded sample of labelled
 documents ties to the label, chosen greedily for documents that few chosen ones occur in.
-Its trie is intersected with the Levenshtein automata of its entries; the product
-is made deterministic once, and all words of a batch run through it in lock step.
-A word that is one edit from an entry of five letters or more is a misspelling.
+Its trie is intersected with the Levenshtein automata of its entries, each with an
+edit budget of its own: entries of five letters or more may be one edit away, shorter
+ones may not.  The product is made deterministic as words ask for it, so that only
+states that some word reaches are built; all words of a batch run through it in lock step.
 
 Each hit is looked at in its context window: between quotation marks, or near a
 word of reporting, it counts as a quotation, else as abuse.  A logistic model of
-each entry's hits, and of the misspelt and the quoted ones, gives the score.
-
-Only rows that are not held out are learnt from, at most ``max_rows`` of them.
-Every document is scored in one pass without a shuffle.  A null text is an empty
-one, and an empty text has the score of no hits.  Without labels the score is 0.5.
-Repeated rows stay; other columns are neither read nor changed.
+each entry's exact and misspelt hits, and of the quoted ones, gives the score.
+
+Only rows that are not held out are learnt from, at most ``max_rows`` of them, one
+for each labelled id (of several rows, the one of the least text hash).  Every
+document is scored in one pass without a shuffle, whole texts however long.  A null
+text is an empty one, and an empty text has the score of no hits.  Equal texts score
+alike; repeated rows stay.  Without labels the score is 0.5, and a table without rows
+gives none.  Other columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -28,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvec.llm._util import STEP_BYTES, held_out, training_labels
+from sparkvec.llm._util import STEP_BYTES, held_out, sampled
 from sparkvec.llm._words import steps
 
 #: Most labelled rows that a model is fitted on.
 MAX_ROWS = 20_000
 #: Candidates for the lexicon, and its entries at most (of a model, not of the data).
-CANDIDATES, ENTRIES = 1_000, 80
+CANDIDATES, ENTRIES = 2_000, 250
 #: Lengths of word beginnings that may be entries; fewest letters of an entry that may be misspelt.
 STEMS, FUZZY_FROM = (3, 4, 5, 6, 7, 8), 5
 #: Code points to either side in which quotation marks count, and words in which cues do.
@@ -43,121 +46,181 @@ THRESHOLD = 0.7
 #: Words of reporting in four languages, and quotation marks.
 CUES = ("said", "says", "called", "quote", "quoted", "wrote", "word", "sagte", "nannte", "zitat", "schrieb", "dit", "appelé", "citation", "dijo", "llamó", "cita", "palabra")
 MARKS = "\"“”„«»‹›"
-_TOKEN = re.compile(r"[^\W_]+")
+_TOKEN = re.compile(r"(?:[^\W_]|@)+")
+#: Entries below which greedy choice stops, and what a chosen entry leaves of the weight of its documents.
+LEAST_GAIN, DECAY = 6, 0.6
+#: States that an automaton keeps between batches; one that has more starts anew.
+STATES = 50_000
 
 
-@dataclass
 class Automaton:
-    """A deterministic automaton.  State 0 is dead, 1 the start.
+    """The product of a trie and the Levenshtein automata of its entries, deterministic and built on demand.
+
+    An entry that ends in ``*`` accepts any continuation.  Entries that may be
+    misspelt and those that may not stand in tries of their own, so a node's budget
+    is that of every entry that ends there.  A state is the best open entry met so
+    far, exact and misspelt, and the set of live (trie node, edits made).  State 0 is
+    dead, 1 the start.
 
-    output: 0 none, 1 exact, 2 misspelt, 3 cue; entry: which one, the longest if several are exact.
+    output: 0 none, 1 exact, 2 misspelt, 3 cue; entry: which one, the longest if there are several.
     """
 
-    letters: np.ndarray  # class of each code point below 65536; 0: no letter of the lexicon
-    step: np.ndarray  # (states, classes)
-    output: np.ndarray
-    entry: np.ndarray
-    entries: int
+    def __init__(self, entries: list[str], cues: tuple[str, ...] = CUES, fuzzy_from: int = FUZZY_FROM):
+        self.given = entries, cues, fuzzy_from
+        self.entries = len(entries)
+        self.size = [len(e.rstrip("*")) for e in entries]
+        self.children: list[dict[int, int]] = [{}, {}]  # roots: 0 no edit, 1 one edit
+        self.fuzzy = [False, True]
+        self.exact, self.open, self.cue = [-1, -1], [-1, -1], [False, False]
+        letters = sorted({c for e in entries for c in e.rstrip("*")} | {c for w in cues for c in w})
+        place = {c: i for i, c in enumerate(letters, 1)}
+        self.letters = np.zeros(65536, np.int16)  # class of each code point; 0: no letter of the lexicon
+        astral = [c for c in letters if ord(c) > 65535]
+        self.letters[[ord(c) for c in letters if ord(c) < 65536]] = [place[c] for c in letters if ord(c) < 65536]
+        self.astral, self.astral_class = np.array([ord(c) for c in astral], np.uint32), np.array([place[c] for c in astral], np.int16)
+        self.classes = len(letters) + 1
+        for i, e in enumerate(entries):
+            word = e.rstrip("*")
+            node, where = self._path(word, int(len(word) >= fuzzy_from), place), self.open if e.endswith("*") else self.exact
+            where[node] = i if where[node] < 0 else where[node]
+        for w in cues:
+            self.cue[self._path(w, 0, place)] = True
+        self.reset()
+
+    def __reduce__(self):
+        return Automaton, self.given
+
+    def _path(self, word: str, root: int, place: dict[str, int]) -> int:
+        at = root
+        for c in word:
+            if place[c] not in self.children[at]:
+                self.children[at][place[c]] = len(self.children)
+                self.children.append({})
+                self.fuzzy.append(bool(root))
+                self.exact.append(-1)
+                self.open.append(-1)
+                self.cue.append(False)
+            at = self.children[at][place[c]]
+        return at
+
+    def reset(self) -> None:
+        dead = (-1, -1, frozenset())
+        self.number, self.order = {dead: 0}, [dead]
+        self.step = np.full((1024, self.classes), -1, np.int32)
+        self.step[0] = 0
+        self.output, self.entry = np.zeros(1024, np.int8), np.zeros(1024, np.int32)
+        self._state(self._settled(-1, -1, {(0, 0), (1, 0)}))
+
+    def _state(self, state: tuple) -> int:
+        if state not in self.number:
+            n = self.number[state] = len(self.order)
+            self.order.append(state)
+            if n == len(self.step):
+                self.step = np.concatenate([self.step, np.full_like(self.step, -1)])
+                self.output, self.entry = (np.concatenate([x, np.zeros_like(x)]) for x in (self.output, self.entry))
+            self.output[n], self.entry[n] = self._said(state)
+        return self.number[state]
+
+    def _longer(self, a: int, b: int) -> int:
+        return b if a < 0 or (b >= 0 and self.size[b] > self.size[a]) else a
+
+    def _settled(self, exact: int, near: int, live: set) -> tuple:
+        """A state from what is live before the letters that a word lacks are passed over."""
+        for node, made in list(live):
+            if not made and self.fuzzy[node]:
+                live.update((child, 1) for child in self.children[node].values())
+        for node, made in live:
+            if self.open[node] >= 0:
+                if made:
+                    near = self._longer(near, self.open[node])
+                else:
+                    exact = self._longer(exact, self.open[node])
+        # What an exact match has settled, or the same node without an edit, needs no edits any more.
+        if exact >= 0:
+            return exact, -1, frozenset(x for x in live if not x[1])
+        return exact, near, frozenset(x for x in live if not x[1] or (x[0], 0) not in live)
+
+    def _after(self, state: tuple, letter: int) -> tuple:
+        out = set()
+        for node, made in state[2]:
+            if (child := self.children[node].get(letter)) is not None:
+                out.add((child, made))
+            if not made and self.fuzzy[node]:
+                out.add((node, 1))  # a letter too many
+                out.update((child, 1) for child in self.children[node].values())  # another letter
+        return self._settled(state[0], state[1], out)
+
+    def _said(self, state: tuple) -> tuple[int, int]:
+        """(kind, entry) of a word that ends in a state; of equal length a closed entry goes before an open one."""
+        best = [-1, -1]
+        for made in (0, 1):
+            for node, m in state[2]:
+                if m == made:
+                    best[made] = self._longer(best[made], self.exact[node])
+            if state[made] >= 0 and (best[made] < 0 or self.size[state[made]] > self.size[best[made]]):
+                best[made] = state[made]
+        if best[0] >= 0:
+            return 1, best[0]
+        if best[1] >= 0:
+            return 2, best[1]
+        return (3, 0) if any(self.cue[node] for node, _ in state[2]) else (0, 0)
+
+    def after(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The states that follow; those not yet known are built."""
+        then = self.step[state, letter]
+        if (new := then < 0).any():
+            for s, c in np.unique(np.stack([state[new], letter[new]], axis=1), axis=0).tolist():
+                n = self._state(self._after(self.order[s], c))
+                self.step[s, c] = n
+            then = self.step[state, letter]
+        return then
+
+    def kinds(self, points: np.ndarray) -> np.ndarray:
+        """The class of each code point."""
+        out = self.letters[np.minimum(points, 65535)]
+        if len(big := np.flatnonzero(points > 65535)):
+            out[big] = 0
+            if len(self.astral):
+                at = np.minimum(np.searchsorted(self.astral, points[big]), len(self.astral) - 1)
+                out[big] = np.where(self.astral[at] == points[big], self.astral_class[at], 0)
+        return out
 
 
 def compile_automaton(entries: list[str], cues: tuple[str, ...] = CUES, fuzzy_from: int = FUZZY_FROM) -> Automaton:
-    """The product of a trie and the Levenshtein automata of its entries, made deterministic.
-
-    An entry that ends in ``*`` accepts any continuation.  A product state is a set
-    of (trie node, edits made); only sets that a word can reach are built.
-    """
-    children: list[dict[str, int]] = [{}]
-    ends: list[int] = [0]  # 1 entry, 2 open entry, 3 cue
-    edits: list[int] = [0]  # edits that some entry below still allows
-    whose: list[dict[int, int]] = [{}]  # entry by kind
-    for i, (word, kind) in enumerate([(e.rstrip("*"), 2 if e.endswith("*") else 1) for e in entries] + [(c, 3) for c in cues]):
-        at, most = 0, int(kind != 3 and len(word) >= fuzzy_from)
-        edits[0] = max(edits[0], most)
-        for letter in word:
-            if letter not in children[at]:
-                children[at][letter] = len(children)
-                children.append({})
-                ends.append(0)
-                edits.append(0)
-                whose.append({})
-            at = children[at][letter]
-            edits[at] = max(edits[at], most)
-        ends[at] = kind if not ends[at] or kind == 2 else ends[at]
-        whose[at].setdefault(kind, i)
-    alphabet = sorted({c for node in children for c in node if ord(c) < 65536})
-    letters = np.zeros(65536, np.int16)
-    place = {c: i for i, c in enumerate(alphabet, 1)}
-    for c, i in place.items():
-        letters[ord(c)] = i
-
-    def closed(states):
-        """With deletions: a letter of the entry that the word lacks."""
-        todo, seen = list(states), set(states)
-        while todo:
-            node, made = todo.pop()
-            for child in children[node].values():
-                if made < edits[child] and (child, made + 1) not in seen:
-                    seen.add((child, made + 1))
-                    todo.append((child, made + 1))
-        return frozenset(seen)
-
-    def after(states, letter):
-        out = set()
-        for node, made in states:
-            if ends[node] == 2:
-                out.add((node, made))
-            if letter in children[node]:
-                out.add((children[node][letter], made))
-            if made < edits[node]:
-                out.add((node, made + 1))  # a letter too many
-                out.update((child, made + 1) for child in children[node].values() if made < edits[child])
-        return closed(out)
-
-    def output(states):
-        """(kind, entry) of a set of states at a word's end."""
-        exact = [(kind, n) for n, made in states if made == 0 for kind in whose[n]]
-        if own := [(len_of[n], -kind, whose[n][kind]) for kind, n in exact if kind != 3]:
-            return 1, max(own)[2]
-        if near := [(len_of[n], -kind, whose[n][kind]) for n, made in states if made and made <= edits[n] for kind in whose[n] if kind != 3]:
-            return 2, max(near)[2]
-        return (3, 0) if exact else (0, 0)
-
-    len_of = [0] * len(children)
-    for node, below in enumerate(children):
-        for child in below.values():
-            len_of[child] = len_of[node] + 1
-    start = closed({(0, 0)})
-    number, order, step = {frozenset(): 0, start: 1}, [frozenset(), start], []
-    for states in order:
-        row = []
-        # A letter that no node of the set goes on with does what any other letter does.
-        for letter in ["", *sorted({c for node, _ in states for c in children[node] if c in place})]:
-            then = after(states, letter)
-            if then not in number:
-                number[then] = len(order)
-                order.append(then)
-            row = row or [number[then]] * (len(alphabet) + 1)
-            row[place.get(letter, 0)] = number[then]
-        step.append(row)
-    out = [output(s) for s in order]
-    return Automaton(letters, np.array(step, np.int32), np.array([o[0] for o in out], np.int8), np.array([o[1] for o in out], np.int32), len(entries))
+    return Automaton(entries, cues, fuzzy_from)
 
 
 def _letter_table() -> np.ndarray:
     return np.array([chr(c).isalnum() for c in range(65536)]) | (np.arange(65536) == ord("@"))
 
 
-def hits(texts: list[str], machine: Automaton, inside: np.ndarray) -> np.ndarray:
-    """Per text: words, hits that are exact abuse, exact quoted, misspelt abuse, misspelt quoted, and exact abuse by entry."""
-    n = len(texts)
+@dataclass
+class Hits:
+    """Per text: words, and hits that are exact abuse, exact quoted, misspelt abuse, misspelt quoted.
+
+    Of the abuse, each (text, 2 * entry + misspelt) that occurs, in order, and how often.
+    """
+
+    counts: np.ndarray
+    text: np.ndarray
+    which: np.ndarray
+    times: np.ndarray
+
+
+def hits(texts: list[str], machine: Automaton, inside: np.ndarray) -> Hits:
+    if len(machine.order) > STATES:
+        machine.reset()
+    n, none = len(texts), np.zeros(0, np.int64)
     lowered = [t.lower() for t in texts]
     size = np.array([len(t) for t in lowered], np.int64)
     points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.zeros((n, 5 + machine.entries))
+    out = np.zeros((n, 5))
     if not len(points):
-        return out
-    small = np.minimum(points, 65535).astype(np.int64)
-    letter = inside[small] & (points < 65536)
+        return Hits(out, none, none, none)
+    letter = inside[np.minimum(points, 65535)]
+    if len(big := np.flatnonzero(points > 65535)):
+        known, back = np.unique(points[big], return_inverse=True)
+        letter[big] = np.array([chr(c).isalnum() for c in known.tolist()])[back]
     bounds = np.concatenate([[0], np.cumsum(size)])
     before = np.empty_like(letter)
     before[1:], before[0] = letter[:-1], False
@@ -169,11 +232,11 @@ def hits(texts: list[str], machine: Automaton, inside: np.ndarray) -> np.ndarray
     ends = np.flatnonzero(letter & ~after) + 1
     first = np.searchsorted(starts, bounds)
     out[:, 0] = np.diff(first)
-    kinds = machine.letters[small]
+    kinds = machine.kinds(points)
     found, which = np.zeros(len(starts), np.int8), np.zeros(len(starts), np.int32)
     live, state, at = np.arange(len(starts)), np.ones(len(starts), np.int32), 0
     while len(live):
-        state = machine.step[state, kinds[starts[live] + at]]
+        state = machine.after(state, kinds[starts[live] + at])
         at += 1
         over = ends[live] - starts[live] == at
         found[live[over]] = machine.output[state[over]]
@@ -182,7 +245,7 @@ def hits(texts: list[str], machine: Automaton, inside: np.ndarray) -> np.ndarray
         live, state = live[keep], state[keep]
     hit = np.flatnonzero((found == 1) | (found == 2))
     if not len(hit):
-        return out
+        return Hits(out, none, none, none)
     text = np.searchsorted(first, hit, side="right") - 1
     marks = np.concatenate([[0], np.cumsum(np.isin(points, [ord(c) for c in MARKS]))])
     lo, hi = bounds[text], bounds[text + 1]
@@ -191,27 +254,33 @@ def hits(texts: list[str], machine: Automaton, inside: np.ndarray) -> np.ndarray
     cue = np.flatnonzero(found == 3)
     near = np.searchsorted(cue, np.minimum(hit + CUES_WITHIN + 1, first[text + 1])) > np.searchsorted(cue, np.maximum(hit - CUES_WITHIN, first[text]))
     quoted = (opened & closed) | near
-    column = 1 + 2 * (found[hit] == 2) + quoted
-    np.add.at(out, (text, column), 1)
-    own = column == 1
-    np.add.at(out, (text[own], 5 + which[hit[own]]), 1)
-    return out
+    np.add.at(out, (text, 1 + 2 * (found[hit] == 2) + quoted), 1)
+    own = hit[~quoted]
+    each, times = np.unique(np.stack([text[~quoted], 2 * which[own] + (found[own] == 2)]), axis=1, return_counts=True)
+    return Hits(out, each[0], each[1], times)
 
 
 def features(counts: np.ndarray) -> np.ndarray:
+    """The features that are no single entry's."""
     n, hit = np.maximum(counts[:, :1], 1), counts[:, 1:5]
-    return np.column_stack([np.ones(len(counts)), np.log1p(n) / 5, np.log1p(hit), hit > 0, np.minimum(20 * hit / n, 3), np.log1p(counts[:, 5:])])
+    return np.column_stack([np.ones(len(counts)), np.log1p(n) / 5, np.log1p(hit), hit > 0, np.minimum(20 * hit / n, 3)])
+
+
+COMMON = 14
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
-    """Ridge logistic regression by damped Newton steps; the first column is the intercept."""
+    """Ridge logistic regression by damped Newton steps over blocks of rows; the first column is the intercept."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + penalty * w
-        hess = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty)
+        grad, hess = penalty * w, np.diag(penalty)
+        for at in range(0, len(x), 2048):
+            part = x[at : at + 2048].astype(float)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            grad = grad + part.T @ (p - y[at : at + 2048])
+            hess = hess + (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
         step = np.linalg.solve(hess, grad)
         step *= min(1, 3 / max(1e-9, np.abs(step).max()))
         w -= step
@@ -226,10 +295,12 @@ class ToxicityModel:
     machine: Automaton
     weights: np.ndarray
 
-    def score(self, counts: np.ndarray) -> np.ndarray:
+    def score(self, found: Hits) -> np.ndarray:
         if not len(self.weights):
-            return np.full(len(counts), 0.5)
-        return 1 / (1 + np.exp(-np.clip(features(counts) @ self.weights, -30, 30)))
+            return np.full(len(found.counts), 0.5)
+        own = np.bincount(found.text, weights=self.weights[COMMON + found.which] * np.log1p(found.times), minlength=len(found.counts))
+        # Rounded, so that equal texts score alike wherever in a batch they stand.
+        return np.round(1 / (1 + np.exp(-np.clip(features(found.counts) @ self.weights[:COMMON] + own, -30, 30))), 9)
 
 
 def _tokens(text: str) -> set[str]:
@@ -239,8 +310,8 @@ def _tokens(text: str) -> set[str]:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, column: str, max_rows: int) -> DataFrame:
-    chosen = training_labels(labels, column, max_rows)
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    """(y, text) of at most ``max_rows`` labelled documents, one row an id."""
+    return sampled(docs, labels, column, max_rows).select("y", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def learn_lexicon(sample: DataFrame) -> list[str]:
@@ -286,25 +357,28 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
             rows = [sorted(number[t] for t in _tokens(text) if t in number) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["tokens"])
 
-    sets = [r.tokens for r in sample.where("y = 1").select("text").mapInArrow(mark, "tokens array<int>").toLocalIterator()]  # at most max_rows
-    has = np.zeros((len(sets), len(tokens)), np.float32)
-    for i, found in enumerate(sets):
-        has[i, found] = 1
-    size = np.maximum(has.sum(axis=0), 1)
-    chosen, weight = [], np.ones(len(sets), np.float32)
+    flat, row = [np.zeros(0, np.int64)], 0
+    of = [np.zeros(0, np.int64)]
+    for r in sample.where("y = 1").select("text").mapInArrow(mark, "tokens array<int>").toLocalIterator():  # at most max_rows
+        flat.append(np.array(r.tokens, np.int64))
+        of.append(np.full(len(r.tokens), row))
+        row += 1
+    flat, of = np.concatenate(flat), np.concatenate(of)
+    size = np.maximum(np.bincount(flat, minlength=len(tokens)), 1)
+    chosen, weight = [], np.ones(row)
     while len(chosen) < min(ENTRIES, len(tokens)):
-        gain = odds * (weight @ has) / size
+        gain = odds * np.bincount(flat, weights=weight[of], minlength=len(tokens)) / size
         gain[chosen] = 0
         i = int(gain.argmax())
-        if gain[i] < 10:
+        if gain[i] < LEAST_GAIN:
             break
         chosen.append(i)
-        weight[has[:, i] > 0] *= 0.4
+        weight[of[flat == i]] *= DECAY
     return [tokens[i] for i in chosen]
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_rows: int = MAX_ROWS) -> ToxicityModel:
-    sample = _sample(docs, labels, column, max_rows).select("y", "text").persist()
+    sample = _sample(docs, labels, column, max_rows).persist()
     try:
         entries = learn_lexicon(sample)
         machine = compile_automaton(entries)
@@ -313,16 +387,19 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_rows: int
             inside = _letter_table()
             for batch in batches:
                 for part in steps(batch, "text", STEP_BYTES):
-                    counts = hits([t or "" for t in part.column("text").to_pylist()], machine, inside)
-                    yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([c.tobytes() for c in counts.astype(np.float32)], pa.binary())], names=["y", "counts"])
-
-        y, counts = [], []
-        for row in sample.mapInArrow(run, "y int, counts binary").toLocalIterator():  # at most max_rows, of bounded width
+                    found = hits(part.column("text").to_pylist(), machine, inside)
+                    edge = np.searchsorted(found.text, np.arange(part.num_rows + 1)).tolist()
+                    lists = [pa.array([x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()) for x in (found.which.astype(np.int32), found.times.astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays([part.column("y"), pa.array([c.tobytes() for c in found.counts.astype(np.float32)], pa.binary()), *lists], names=["y", "counts", "which", "times"])
+
+        x, y = np.zeros((max_rows, COMMON + 2 * len(entries)), np.float32), []
+        for row in sample.mapInArrow(run, "y int, counts binary, which binary, times binary").toLocalIterator():  # at most max_rows, of bounded width
+            x[len(y), :COMMON] = features(np.frombuffer(row.counts, np.float32)[None, :].astype(float))[0]
+            x[len(y), COMMON + np.frombuffer(row.which, np.int32)] = np.log1p(np.frombuffer(row.times, np.int32))
             y.append(row.y > 0)
-            counts.append(np.frombuffer(row.counts, np.float32))
         if not y:
             return ToxicityModel(entries, machine, np.zeros(0))
-        return ToxicityModel(entries, machine, logistic(features(np.stack(counts)), np.array(y, float)))
+        return ToxicityModel(entries, machine, logistic(x[: len(y)], np.array(y, float)))
     finally:
         sample.unpersist()
 
@@ -336,8 +413,8 @@ def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_i
         inside = _letter_table()
         for batch in batches:
             for part in steps(batch, "__text", STEP_BYTES):
-                counts = hits([t or "" for t in part.column("__text").to_pylist()], shipped.value.machine, inside)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(shipped.value.score(counts))], names=[*keep, "__score"])
+                found = hits([t or "" for t in part.column("__text").to_pylist()], shipped.value.machine, inside)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(shipped.value.score(found))], names=[*keep, "__score"])
 
     kept = slim.select(*keep).schema
     return slim.mapInArrow(run, T.StructType([*kept.fields, T.StructField("__score", T.DoubleType())])).withColumnRenamed("__score", "score")
