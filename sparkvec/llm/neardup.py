@@ -2,13 +2,17 @@
 
 A text's fingerprint is the bitwise majority of the XXH64 hashes of its word
 shingles.  Distinct fingerprints form a binary trie.  Node pairs are traversed
-together from the root: each level adds the differing bit of the two branches,
-and a pair whose sum exceeds the Hamming budget is pruned with all below it.
-
-The upper levels of the traversal are exploded by Spark into units (pairs of
-prefixes within the budget) until each unit holds a bounded number of
-fingerprints; the lower levels run inside one task a unit, with a frontier of
-bounded size.  A unit returns a spanning forest of its links, never all pairs.
+together: each level adds the differing bit of the two branches, and a pair whose
+sum exceeds the Hamming budget is pruned with all below it.
+
+Of ``radius + 1`` blocks of a fingerprint at least one is free of differing bits.  So
+there is one trie for each block, over the fingerprints rotated to begin with it,
+and its traversal may start from the pairs of each block value with itself.  A
+fingerprint is copied once a block, ``radius + 1`` times, however many there are.
+Block values are dealt to tasks by their leading bits, more of them the more
+fingerprints there are; the traversal runs inside a task with a frontier of bounded
+size and returns a spanning forest of its links, never all pairs.  A block value with
+more fingerprints than a task may hold is cut again by blocks of its other bits.
 
 The pipeline's stage asks for edited copies, five-word shingles with a Jaccard
 similarity of 0.8 or more.  Their fingerprints differ in about ten bits, which no
@@ -16,13 +20,15 @@ trie can prune, so ``deduplicated`` finds candidates by bands of least hashes an
 compares their shingle sets.
 
 Nulls: a null text has no words and so fingerprint zero; null ids are ignored
-when the least id is chosen.  Repeated rows keep their rows.  Other columns are
-not read.
+when the least id is chosen, and a class of null ids only has a null one.  Repeated
+rows keep their rows.  Whole texts are read however long.  A table without rows
+gives none.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +44,8 @@ from sparkvec.llm.components import components
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-#: Fingerprints that one trie unit may hold; larger units are split on further bits.
-UNIT_ROWS = 1 << 16
+#: Fingerprints that one task should hold about, and of one block value at most; beyond it they are cut again.
+TASK_ROWS, UNIT_ROWS = 1 << 11, 1 << 20
 #: Node pairs expanded at once within a unit.
 FRONTIER = 1 << 18
 #: Word shingles and Jaccard similarity of the pipeline's stage.
@@ -186,88 +192,76 @@ def trie_links(values: np.ndarray, pairs: tuple, radius: int, forest: Forest, le
             stack.append(tuple(x[alive] for x in merged))
 
 
-def unit_forest(fps: np.ndarray, left: int, right: int, depth: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links among the fingerprints of one unit, a pair of prefixes of ``depth`` bits."""
-    values = np.unique(fps)
-    shift = U(64 - depth)
-    prefix = values >> shift if depth else np.zeros(len(values), U)
-    bounds = [np.searchsorted(prefix, U(p), side) for p in (left, right) for side in ("left", "right")]
+def unit_forest(turned: np.ndarray, depth: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (indices) among fingerprints, turned so that ``depth`` bits stand first that none of a link differ in."""
+    order = np.argsort(turned)
+    values = turned[order]
+    prefix = values >> U(64 - depth) if depth else np.zeros(len(values), U)
+    first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]])) if len(values) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(values))
+    several = last - first > 1
+    first, last = first[several], last[several]
     forest = Forest(len(values))
-    start = (*(np.array([b], dtype=np.int64) for b in bounds), np.array([(left ^ right).bit_count()]), np.array([depth]))
-    trie_links(values, start, radius, forest)
+    zero = np.zeros(len(first), np.int64)
+    trie_links(values, (first, last, first, last, zero, zero + depth), radius, forest)
     linked = np.flatnonzero(forest.root != np.arange(len(values)))
-    return values[linked], values[forest.root[linked]]
-
-
-def _masks(bits: int, radius: int) -> list[int]:
-    """All numbers of ``bits`` bits with at most ``radius`` of them set."""
-    return [sum(1 << i for i in c) for r in range(min(bits, radius) + 1) for c in itertools.combinations(range(bits), r)]
+    return order[linked], order[forest.root[linked]]
 
 
-def _deeper(units: DataFrame, step: int, radius: int) -> DataFrame:
-    """Units one step of bits further down; units (left, right, depth, fp) with left = right at first."""
-    masks = F.array(*[F.lit(m).cast("long") for m in _masks(step, radius)])
-    units = units.withColumn("chunk", F.expr(f"shiftrightunsigned(shiftleft(fp, depth), {64 - step})"))
-    units = units.withColumn("mine", F.expr("if(depth = 0, 0L, shiftrightunsigned(fp, 64 - depth))"))
-    units = units.withColumn("mask", F.explode(masks)).where(
-        F.expr(f"bit_count(left ^ right) + bit_count(mask) <= {radius}")
-    )
-    own = F.expr(f"shiftleft(mine, {step}) | chunk")
-    other = F.expr(f"shiftleft(left ^ right ^ mine, {step}) | (chunk ^ mask)")
-    other = F.when(F.col("left") == F.col("right"), F.expr(f"shiftleft(left, {step}) | (chunk ^ mask)")).otherwise(other)
-    is_left = F.when(F.col("left") == F.col("right"), own <= other).otherwise(F.col("mine") == F.col("left"))
-    return units.select(
-        F.when(is_left, own).otherwise(other).alias("left"),
-        F.when(is_left, other).otherwise(own).alias("right"),
-        (F.col("depth") + step).alias("depth"),
-        "fp",
-    )
+def block_copies(units: DataFrame, radius: int) -> DataFrame:
+    """Each unit (path, depth, turned, fp) once for each of radius + 1 blocks of the bits after ``depth``, turned to begin with it."""
+    blocks = radius + 1
+    copies = []
+    for i in range(blocks):
+        at = f"cast((64 - depth) * {i} div {blocks} as int)"
+        size = f"cast((64 - depth) * {i + 1} div {blocks} - (64 - depth) * {i} div {blocks} as int)"
+        # The leading depth bits stay; the others are rotated by ``at``.
+        rest = "shiftrightunsigned(shiftleft(turned, depth), depth)"
+        head = "if(depth = 0, 0L, shiftleft(shiftrightunsigned(turned, 64 - depth), 64 - depth))"
+        tail = f"if({at} = 0, {rest}, shiftrightunsigned(shiftleft(turned, depth + {at}), depth) | shiftrightunsigned({rest}, 64 - depth - {at}))"
+        copies.append(F.expr(f"struct(path * {blocks} + {i} as path, depth + {size} as depth, {head} | {tail} as turned)"))
+    return units.select("fp", F.explode(F.array(*copies)).alias("c")).select("c.path", "c.depth", "c.turned", "fp")
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, unit_rows: int = UNIT_ROWS) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, unit_rows: int = UNIT_ROWS, task_rows: int = TASK_ROWS) -> DataFrame:
     """Links (u, v) that connect the distinct longs ``fp`` differing in at most ``radius`` bits.
 
-    Their components equal those of all such pairs.  fps must hold each value
-    once; its count decides how deep Spark explodes the trie before tasks take
-    over, and units that are still too large are exploded further.
+    Their components equal those of all such pairs.  fps must hold each value once.
     """
     total = fps.count()
-    step = 4
-    units = fps.select(
-        F.lit(0).cast("long").alias("left"), F.lit(0).cast("long").alias("right"), F.lit(0).alias("depth"), "fp"
-    )
-    depth, each = 0, total
-    while depth < 12 and (each > unit_rows // 2 or depth == 0):
-        units, depth, each = _deeper(units, step, radius), depth + step, each >> step
-    ready, parts = [], []
+    # Leading bits by which block values are dealt to tasks: how much is done at once, not what is done.
+    dealt = min(64 // (radius + 1), max(0, math.ceil(math.log2(max(1, total / task_rows)))))
+    units = block_copies(fps.select(F.lit(0).cast("long").alias("path"), F.lit(0).alias("depth"), F.col("fp").alias("turned"), "fp"), radius)
+    ready, value = [], F.expr("shiftrightunsigned(turned, 64 - depth)")
     while True:
-        sizes = units.groupBy("left", "right", "depth").agg(F.count(F.lit(1)).alias("n"))
-        hot = sizes.where((F.col("n") > unit_rows) & (F.col("depth") < 56))
-        if depth >= 56 or hot.isEmpty():
+        sizes = units.groupBy("path", "depth", value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        # What agrees on 44 bits has at most a million values left.
+        hot = sizes.where((F.col("n") > unit_rows) & (F.col("depth") < 44)).select("path", "depth", "value")
+        if hot.isEmpty():
             ready.append(units)
             break
-        hot = written(hot.select("left", "right", "depth"))
-        ready.append(units.join(hot, ["left", "right", "depth"], "left_anti"))
-        units = written(_deeper(units.join(hot, ["left", "right", "depth"], "left_semi"), step, radius))
-        depth += step
+        hot = written(hot)
+        keyed = units.withColumn("value", value)
+        ready.append(keyed.join(hot, ["path", "depth", "value"], "left_anti").drop("value"))
+        units = written(block_copies(keyed.join(hot, ["path", "depth", "value"], "left_semi").drop("value"), radius))
 
     def run(key, group):
-        left, right, at = (key[i].as_py() for i in range(3))
-        values = group.column("fp").combine_chunks().to_numpy(zero_copy_only=False).view(U)
-        u, v = unit_forest(values, left % (1 << 64), right % (1 << 64), at, radius)
-        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
-
-    for part in ready:
-        parts.append(part.groupBy("left", "right", "depth").applyInArrow(run, "u long, v long"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
+        turned, fp = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("turned", "fp"))
+        u, v = unit_forest(turned.view(U), key[1].as_py(), radius)
+        return pa.table({"u": fp[u], "v": fp[v]})
+
+    out = None
+    for i, part in enumerate(ready):
+        # Of what was cut again each block value is a group of its own.
+        group = F.expr(f"shiftrightunsigned(turned, {64 - dealt})") if i == 0 and dealt else F.lit(0).cast("long") if i == 0 else value
+        found = part.withColumn("group", group).groupBy("path", "depth", "group").applyInArrow(run, "u long, v long")
+        out = found if out is None else out.union(found)
     return out
 
 
 def _classes(rows: DataFrame, least, links) -> DataFrame:
     """(fp, first): the least of ``least`` over all rows whose fingerprint fp reaches by ``links`` (a function of them)."""
-    least = rows.groupBy("fp").agg(F.min(least).alias("least"))
+    least = written(rows.groupBy("fp").agg(F.min(least).alias("least")))
     roots = components(links(least))
     by_fp = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")

@@ -44,7 +44,7 @@ def test_more_hashes_than_a_byte_counts():
     assert nd.majority_bits(h, first).tolist() == expected
 
 
-@pytest.mark.parametrize("unit_rows", [1 << 16, 32])
+@pytest.mark.parametrize("unit_rows", [1 << 16, 32, 4])
 def test_trie_links_equal_all_pairs(spark, unit_rows):
     rng = np.random.default_rng(2)
     values = rng.integers(0, 1 << 63, 80, dtype=np.uint64) << np.uint64(1)
@@ -53,13 +53,37 @@ def test_trie_links_equal_all_pairs(spark, unit_rows):
         near = near ^ (np.uint64(1) << rng.integers(0, 64, len(near)).astype(np.uint64)) * rng.integers(0, 2, len(near)).astype(np.uint64)
     values = np.unique(np.concatenate([values, near, [np.uint64(0), np.uint64(7), np.uint64(2**64 - 1)]]))
     df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
-    got = {r.node: r.root for r in components(nd.fingerprint_links(df, 3, unit_rows)).collect()}
+    got = {r.node: r.root for r in components(nd.fingerprint_links(df, 3, unit_rows, unit_rows)).collect()}
     mine = [got.get(int(v), int(v)) for v in values.view(np.int64)]
     expected = classes([int(v) for v in values])
     pairs = lambda labels: {frozenset(i for i, x in enumerate(labels) if x == y) for y in labels}
     assert pairs(mine) == pairs(expected)
 
 
+def test_turned_blocks_keep_the_bits(spark):
+    """Copies are rotations of what follows the leading bits, each with another block in front."""
+    rng = np.random.default_rng(4)
+    values = [int(v) for v in rng.integers(0, 2**64, 20, dtype=np.uint64)] + [0, 2**64 - 1]
+    signed = lambda v: v - 2**64 if v >> 63 else v
+    for depth in (0, 16, 28, 37):
+        units = spark.createDataFrame([(0, depth, signed(v), signed(v)) for v in values], "path long, depth int, turned long, fp long")
+        got = nd.block_copies(units, 3).collect()
+        assert len(got) == 4 * len(values)
+        for r in got:
+            v, i, free = r.fp % 2**64, r.path, 64 - depth
+            at, to = free * i // 4, free * (i + 1) // 4
+            rest = v % 2**free
+            turned = (rest << at | rest >> (free - at)) % 2**free if at else rest
+            assert r.depth == depth + to - at and r.turned % 2**64 == (v >> free << free) + turned
+
+
+@pytest.mark.parametrize("rows", [1000, 200_000])
+def test_copies_do_not_grow_with_the_count(spark, rows):
+    fps = spark.range(rows).selectExpr("xxhash64(id) as fp")
+    units = nd.block_copies(fps.selectExpr("0L as path", "0 as depth", "fp as turned", "fp"), 3)
+    assert units.count() == 4 * rows
+
+
 def test_components_chains_and_nulls(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100), (None, 3), (60, 50), (50, 60), (60, 50)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
