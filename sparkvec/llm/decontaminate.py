@@ -7,18 +7,19 @@ only there are words compared directly.  Words that a scan jumps over are never
 hashed.  All documents of a batch are scanned in lanes that step together.
 
 The benchmark is compiled in blocks of bounded size, one pass over the documents
-for each; an ordinary benchmark is a single block.  The documents are never
-shuffled for one block.
+for each; an ordinary benchmark is a single block.  A block is one byte buffer with
+arrays of offsets and hashes, about 15 bytes for each of its text, made by whole-array steps.
+The documents are never shuffled for one block.
 
 Null texts have no words; items without words have no windows; a null item id
-reads as an empty string.  An empty benchmark leaves all documents clean.
+reads as an empty string.  An empty benchmark leaves all documents clean, and a
+table without documents gives no rows.  Texts are searched whole however long.
 Repeated items count once for each distinct id; repeated documents stay.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ from sparkvec.llm._words import ALNUM, U, Words, mix, sequence_hashes, steps, te
 
 WINDOW = 10
 #: Bytes of benchmark text that are compiled, broadcast and searched at once.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Window ends of one lane of the scan.
 LANE = 256
 SPANS = "array<struct<start:int,end:int>>"
@@ -40,46 +41,85 @@ SPANS = "array<struct<start:int,end:int>>"
 
 @dataclass
 class Patterns:
-    """All patterns of one length, compiled."""
+    """All patterns of one length, compiled.  A pattern is a run of words of the benchmark's buffer."""
 
     length: int
     block: int
-    shift: np.ndarray
+    shift: np.ndarray  # by the low bits of a block's hash
     suffix: np.ndarray  # sorted hashes of the patterns' last blocks
     whole: np.ndarray  # hash of the whole pattern; sorted within equal suffix
-    text: list[bytes]  # words joined by a space
-    items: list[list[str]]
-
-
-def _block_hash(h: np.ndarray, size: int) -> np.ndarray:
-    return sequence_hashes(h, size)
+    first: np.ndarray  # its first word
+    edge: np.ndarray  # where its items begin in ``item``
+    item: np.ndarray
+    text: Words
+    names: np.ndarray  # item ids in order; ``item`` counts in it
+
+
+def _same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray, n: int) -> np.ndarray:
+    """Whether n words of a from each of i on are those of b from each of j on, byte by byte."""
+    run = np.arange(n)
+    i, j = (i[:, None] + run).ravel(), (j[:, None] + run).ravel()
+    size = a.ends[i] - a.starts[i]
+    good = size == b.ends[j] - b.starts[j]
+    live = np.flatnonzero(good & (size > 0))
+    if len(live):
+        size = size[live]
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        equal = a.data[np.repeat(a.starts[i[live]], size) + inner] == b.data[np.repeat(b.starts[j[live]], size) + inner]
+        good[live] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+    return good.reshape(-1, n).all(axis=1)
 
 
 def compile_patterns(items: list[tuple[str, str]], window: int = WINDOW) -> list[Patterns]:
     """Compiled windows of (item id, text) pairs, by length."""
-    found: dict[int, dict[bytes, tuple[set[str], list[bytes]]]] = defaultdict(dict)
-    for name, text in items:
-        w = words(*text_buffer(pa.array([text], pa.string())), ALNUM, lower=True)
-        tokens = [w.data[a:b].tobytes() for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
-        n = min(window, len(tokens))
-        for i in range(len(tokens) - n + 1 if n else 0):
-            part = tokens[i : i + n]
-            found[n].setdefault(b" ".join(part), (set(), part))[0].add(name)
+    return compile_table(pa.table({"item_id": pa.array([str(i) for i, _ in items], pa.string()), "text": pa.array([t for _, t in items], pa.string())}), window)
+
+
+def compile_table(items: pa.Table, window: int = WINDOW) -> list[Patterns]:
+    """As :func:`compile_patterns`, of a table (item_id, text)."""
+    names, of_name = np.unique(np.array(items.column("item_id").to_pylist(), dtype=object), return_inverse=True) if len(items) else (np.zeros(0, object), np.zeros(0, np.int64))
+    w = words(*text_buffer(items.column("text")), ALNUM, lower=True)
+    w = Words(w.data, w.starts.astype(np.int32), w.ends.astype(np.int32), w.first) if len(w.data) < 1 << 31 else w
+    h, n = w.hashes(), np.diff(w.first)
+    w._padded = None  # not shipped
     out = []
-    for length, patterns in sorted(found.items()):
+    for length in np.unique(np.minimum(n, window)).tolist():
+        if not length:
+            continue
+        which = np.flatnonzero((n >= window) if length == window else (n == length))
+        count = n[which] - length + 1
+        first = np.repeat(w.first[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        item = np.repeat(of_name[which], count).astype(np.int32)
         block = min(2, length)
-        texts = list(patterns)
-        w = words(*text_buffer(pa.array([t.decode() for t in texts], pa.string())), ALNUM, lower=False)
-        h = w.hashes().reshape(len(texts), length)
-        whole = np.array([sequence_hashes(row, length)[0] for row in h], dtype=U)
-        blocks = np.stack([_block_hash(row, block) for row in h])
-        size = 1 << max(12, math.ceil(math.log2(8 * blocks.size)))
-        shift = np.full(size, length - block + 1, np.int32)
-        for at in range(blocks.shape[1]):
-            np.minimum.at(shift, (blocks[:, at] & U(size - 1)).astype(np.int64), blocks.shape[1] - 1 - at)
-        order = np.lexsort((whole, blocks[:, -1]))
-        names = [sorted(patterns[t][0]) for t in texts]
-        out.append(Patterns(length, block, shift, blocks[order, -1], whole[order], [texts[i] for i in order], [names[i] for i in order]))
+        whole = sequence_hashes(h, length)[first]
+        pairs = sequence_hashes(h, block)
+        suffix = pairs[first + length - block]
+        # Windows of equal hashes are one pattern if their words are; others of that hash follow it.
+        order = np.lexsort((first, whole, suffix))
+        first, item, whole, suffix = first[order], item[order], whole[order], suffix[order]
+        pattern, todo, made = np.zeros(len(first), np.int64), np.arange(len(first)), 0
+        while len(todo):
+            new = np.concatenate([[True], (whole[todo][1:] != whole[todo][:-1]) | (suffix[todo][1:] != suffix[todo][:-1])])
+            head = todo[np.flatnonzero(new)][np.cumsum(new) - 1]
+            same = np.ones(len(todo), bool)
+            for at in range(0, len(todo), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                same[part] = (head[part] == todo[part]) | _same_words(w, first[todo[part]], w, first[head[part]], length)
+            pattern[todo[same]] = made + (np.cumsum(new) - 1)[same]
+            made, todo = made + int(new.sum()), todo[~same]
+        each = np.divmod(np.unique(pattern * len(names) + item), len(names))
+        lead = np.unique(pattern, return_index=True)[1]
+        order = np.lexsort((whole[lead], suffix[lead]))
+        begin = np.searchsorted(each[0], np.arange(made + 1))
+        size = np.diff(begin)[order]
+        listed = each[1][np.repeat(begin[:-1][order], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        # The shift of a block is the least distance from a pattern's end at which it stands.
+        distinct = np.unique(pairs) if length == window else np.unique(pairs[(first[lead][:, None] + np.arange(length - block + 1)).ravel()])
+        bits = max(12, math.ceil(math.log2(4 * max(1, len(distinct)))))
+        shift = np.full(1 << bits, length - block + 1, np.int8 if length < 128 else np.int32)
+        for back in range(length - block, -1, -1):
+            shift[(pairs[first[lead] + length - block - back] & U((1 << bits) - 1)).astype(np.int64)] = back
+        out.append(Patterns(length, block, shift, suffix[lead][order], whole[lead][order], first[lead][order], np.concatenate([[0], np.cumsum(size)]), listed.astype(np.int32), w, names))
     return out
 
 
@@ -115,9 +155,9 @@ def _block_at(w: Words, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def search(w: Words, compiled: list[Patterns]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    """(first word, word after the last, item ids) of each occurrence of a pattern."""
-    starts, ends, items = [], [], []
+def search(w: Words, compiled: list[Patterns]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word and word after the last of each occurrence of a pattern; then its (occurrence, item) pairs."""
+    starts, ends, of, items, made = [], [], [], [], 0
     for p in compiled:
         at = _candidates(w, p)
         if not len(at):
@@ -127,20 +167,26 @@ def search(w: Words, compiled: list[Patterns]) -> tuple[np.ndarray, np.ndarray,
         hi = np.searchsorted(p.suffix, suffix, "right")
         at, lo, hi = (x[lo < hi] for x in (at, lo, hi))
         whole = _block_at(w, at, p.length)
-        for end, a, b, h in zip(at.tolist(), lo.tolist(), hi.tolist(), whole, strict=True):
-            i = a + int(np.searchsorted(p.whole[a:b], h))
-            if i >= b or p.whole[i] != h:
-                continue
-            first = end - p.length + 1
-            here = [w.data[s:e].tobytes() for s, e in zip(w.starts[first : end + 1], w.ends[first : end + 1], strict=True)]
-            while i < b and p.whole[i] == h:
-                if b" ".join(here) == p.text[i]:
-                    starts.append(first)
-                    ends.append(end + 1)
-                    items.append(p.items[i])
-                    break
-                i += 1
-    return np.array(starts, np.int64), np.array(ends, np.int64), items
+        # Within its bucket each goes to the patterns of its hash, by halving.
+        stop = hi.copy()
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) // 2
+            less = open_ & (p.whole[np.minimum(mid, len(p.whole) - 1)] < whole)
+            lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        while len(at):
+            live = lo < stop
+            live[live] = p.whole[lo[live]] == whole[live]
+            at, lo, stop, whole = at[live], lo[live], stop[live], whole[live]
+            same = np.concatenate([_same_words(w, at[i : i + 65536] - p.length + 1, p.text, p.first[lo[i : i + 65536]], p.length) for i in range(0, len(at), 65536)]) if len(at) else np.zeros(0, bool)
+            size = p.edge[lo[same] + 1] - p.edge[lo[same]]
+            items.append(p.item[np.repeat(p.edge[lo[same]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)])
+            of.append(made + np.repeat(np.arange(len(size)), size))
+            starts.append(at[same] - p.length + 1)
+            ends.append(at[same] + 1)
+            made += len(size)
+            at, lo, stop, whole = at[~same], lo[~same] + 1, stop[~same], whole[~same]
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *x]).astype(np.int64) for x in (starts, ends, of, items))
 
 
 def _scan(docs: DataFrame, compiled, keep: list[str]) -> DataFrame:
@@ -152,24 +198,24 @@ def _scan(docs: DataFrame, compiled, keep: list[str]) -> DataFrame:
         for batch in batches:
             for part in steps(batch, "__text", STEP_BYTES):
                 w = words(*text_buffer(part.column("__text")), ALNUM, lower=True)
-                starts, ends, items = search(w, compiled.value)
+                starts, ends, which, items = search(w, compiled.value)
                 edge = np.zeros(len(w.starts) + 1, np.int32)
                 np.add.at(edge, starts, 1)
                 np.add.at(edge, ends, -1)
                 inside = np.cumsum(edge[:-1]) > 0
                 of = np.searchsorted(w.first, starts, side="right") - 1
                 spans: list[list] = [[] for _ in range(part.num_rows)]
-                names: list[set] = [set() for _ in range(part.num_rows)]
-                for d, more in zip(of.tolist(), items, strict=True):
-                    names[d].update(more)
                 for d in np.unique(of).tolist():
                     a, b = w.first[d], w.first[d + 1]
                     flips = np.flatnonzero(np.diff(np.concatenate([[False], inside[a:b], [False]]).astype(np.int8)))
                     spans[d] = [{"start": s, "end": e} for s, e in flips.reshape(-1, 2).tolist()]
+                names = compiled.value[0].names if len(compiled.value) else np.zeros(0, object)
+                own = np.unique(np.stack([of[which], items]), axis=1)
+                bounds = np.searchsorted(own[0], np.arange(part.num_rows + 1)).astype(np.int32)
                 made = [
                     pa.array(np.diff(w.first)),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                    pa.array([sorted(x) for x in names], pa.list_(pa.string())),
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(names[own[1]].tolist(), pa.string())),
                 ]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *made], names=[*keep, "n_words", "spans", "items"])
 
@@ -191,8 +237,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     if blocks > 1:
         docs = docs.select(*keep, "text", F.xxhash64(F.col("text").cast("string")).alias("__text_hash"))
     for block in range(blocks):
-        rows = items.where(F.col("block") == block).select("item_id", "text").collect()  # at most block_bytes or so
-        compiled = spark.sparkContext.broadcast(compile_patterns([tuple(r) for r in rows], window))
+        rows = items.where(F.col("block") == block).select("item_id", "text").toArrow()  # at most block_bytes or so
+        compiled = spark.sparkContext.broadcast(compile_table(rows, window))
         out = _scan(docs, compiled, keep + ["__text_hash"] * (blocks > 1))
         if blocks == 1:
             return out

@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,13 +41,31 @@ LINE = st.lists(st.sampled_from(["a", "B", "c1", "é", "日", ".", "a-b"]), max_
 def test_search_equals_brute_force(texts, items, window):
     items = [(str(i), t) for i, t in enumerate(items)]
     w = words(*text_buffer(pa.array(texts, pa.string())), ALNUM, lower=True)
-    starts, ends, names = dc.search(w, dc.compile_patterns(items, window))
+    compiled = dc.compile_patterns(items, window)
+    starts, ends, which, found = dc.search(w, compiled)
+    names = [set() for _ in starts]
+    for i, x in zip(which, found):
+        names[i].add(compiled[0].names[x])
     for d, (n, hit, expected) in enumerate(brute(texts, items, window)):
         a, b = w.first[d], w.first[d + 1]
         mine = [(s - a, e - a, x) for s, e, x in zip(starts, ends, names) if a <= s < b]
         assert b - a == n and {i for s, e, _ in mine for i in range(s, e)} == hit and {y for _, _, x in mine for y in x} == expected
 
 
+def test_equal_hashes_are_told_apart(monkeypatch):
+    """All windows of one hash: only the words decide."""
+    flat = lambda h, n, seed=0: np.zeros(max(0, len(h) - n + 1), np.uint64)
+    monkeypatch.setattr(dc, "sequence_hashes", flat)
+    monkeypatch.setattr(dc, "_block_at", lambda w, at, size: np.zeros(len(at), np.uint64))
+    items = [("a", "one two three four"), ("b", "two three four five"), ("c", "one two three")]
+    texts = ["x one two three y", "three four five", "two three five", "two three four"]
+    w = words(*text_buffer(pa.array(texts, pa.string())), ALNUM, lower=True)
+    compiled = dc.compile_patterns(items, 3)
+    assert len(compiled) == 1 and len(compiled[0].first) == 3
+    starts, ends, which, found = dc.search(w, compiled)
+    assert sorted(zip(starts[which].tolist(), compiled[0].names[found].tolist())) == [(1, "a"), (1, "c"), (5, "b"), (11, "a"), (11, "b")]
+
+
 ITEMS = [(1, "quick brown fox jumps over the lazy dog and then it runs"), (2, "word"), (3, None), (4, "..."), (None, "日本"), (2, "word")]
 
 
