@@ -69,14 +69,14 @@ class Words:
     first: np.ndarray
     _padded: np.ndarray | None = None
 
-    def hashes(self, which: np.ndarray | None = None) -> np.ndarray:
+    def hashes(self, which: np.ndarray | None = None, seed: int = 0) -> np.ndarray:
         """64-bit hashes of all words, or of those with the indices ``which``."""
         if self._padded is None:
             self._padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
         eights = np.ndarray(shape=(len(self.data) + 1,), dtype="<u8", buffer=self._padded.data, strides=(1,))
         starts, ends = (self.starts, self.ends) if which is None else (self.starts[which], self.ends[which])
         size = ends - starts
-        h = mix(size.astype(U) + U(0x9E3779B97F4A7C15))
+        h = mix(size.astype(U) + U((0x9E3779B97F4A7C15 * (2 * seed + 1)) % (1 << 64)))
         live, at = np.arange(len(size)), 0
         while len(live):
             part = eights[starts[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]
@@ -129,24 +129,22 @@ def no_straddle(first: np.ndarray, total: int, n: int) -> np.ndarray:
     return ok
 
 
-def window_hashes(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each run of n entries: 64 bits, and 32 bits to check them.
+def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of each run of n entries.
 
     Runs of 1, 2, 4, ... entries are combined as the binary digits of n ask, so the
     cost grows with the logarithm of n.
     """
     m = max(0, len(h) - n + 1)
-    out, check, at, power, size = np.full(m, U(n)), np.full(m, U(n)), 0, h, 1
+    out, at, power, size = np.full(m, U(n)), 0, h, 1
     while size <= n:
         if n & size:
-            part = power[at : at + m]
-            out = mix(out * U(0x9FB21C651E98DF25) ^ part)
-            check = check * U(0xA24BAED4963EE407) + mix(part + U(size))
+            out = mix(out * U(0x9FB21C651E98DF25) ^ power[at : at + m])
             at += size
         if 2 * size <= n:
             power = mix(power[:-size] * U(0xD6E8FEB86659FD93) ^ power[size:]) if len(power) > size else power[:0]
         size *= 2
-    return out, mix(check) >> U(32)
+    return out
 
 
 def minimizers(k: np.ndarray, width: int) -> np.ndarray:

@@ -49,7 +49,7 @@ def simhash(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     h, of, count = w.hashes(), w.text_of(), np.diff(w.first)
     pair = np.flatnonzero(no_straddle(w.first, len(h), 2))
     single = w.first[:-1][count == 1]
-    terms = np.concatenate([window_hashes(h, 2)[0][pair], h[single]])
+    terms = np.concatenate([window_hashes(h, 2)[pair], h[single]])
     text = np.concatenate([of[pair], of[single]])
     votes = np.zeros((n, BITS), np.int64)
     if len(terms):

@@ -11,9 +11,11 @@ smallest document.  Joins and aggregates find them:
    runs, so equal windows have equal minimizers.  Tasks send sorted, truncated
    minimizer hashes; those of two documents or more set a bit of a filter.  The
    filter only saves work: it is lossless, and its size has a fixed bound.
-2. Edges.  Windows whose minimizer passes are aggregated by hash to their source
-   coordinate, multiplicity and largest document; the repeated ones are joined
-   back to the documents' walks.  A 32-bit check hash must agree as well.
+2. Edges.  Windows whose minimizer passes are aggregated to their source coordinate,
+   multiplicity and largest document; the repeated ones are joined back to the
+   documents' walks.  A window is told by 96 bits, a 64-bit hash and 32 bits of a
+   second one over word hashes of another seed; both are keys of the aggregate and
+   of the join, so windows that agree in one of them only have sources of their own.
 3. Compaction.  Along each document's walk, edges that follow each other with the
    same source document, consecutive source coordinates and equal multiplicity
    (a nonbranching step) become one path, a long repeated span.
@@ -24,7 +26,8 @@ Nulls: a null text has no words; rows with a null doc_id are neither sources nor
 cut.  Repeated ids: a document is cut only by a smaller id, never by an equal one;
 rows of one id with different texts are told apart by a hash of the text, which is
 a second key only where an id repeats.  Documents with fewer words than a window stay
-whole.  Other columns are not read.
+whole.  Texts are read whole however long; a table without rows gives none.  Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -64,7 +67,7 @@ def _minimized(part: pa.RecordBatch, window: int, run: int):
     """Words of a slice, their hashes, starts of its windows, and each window's minimizer index and run hashes."""
     w = words(*text_buffer(part.column("__text")), SPACED, lower=False)
     h = w.hashes()
-    k, _ = window_hashes(h, run)
+    k = window_hashes(h, run)
     at = minimizers(k, window - run + 1)
     start = np.flatnonzero(no_straddle(w.first, len(h), window)[: len(at)])
     return w, h, start, at[start], k
@@ -170,7 +173,7 @@ def _without_copies(slim: DataFrame, bits: int):
 
 
 def _walks(slim: DataFrame, marks, passing, window: int, run: int, bits: int) -> DataFrame:
-    """(edge, keys, place) of each window that passes the filter; place: word index and check hash in one long."""
+    """(edge, check, keys, at) of each window that passes the filter: its two hashes and its first word."""
 
     keys, copy_bits = [c for c in slim.columns if c not in ("__text", "__hash")], min(bits, COPY_BITS)
 
@@ -183,15 +186,18 @@ def _walks(slim: DataFrame, marks, passing, window: int, run: int, bits: int) ->
                 start = start[(passing.value[(slot >> U(3)).astype(np.int64)] >> (7 - (slot & U(7)).astype(np.uint8))) & 1 == 1]
                 if not len(start):
                     continue
-                edge, check = window_hashes(h, window)
+                edge, check = window_hashes(h, window), window_hashes(w.hashes(seed=1), window) >> U(32)
                 text = np.searchsorted(w.first, start, side="right") - 1
-                place = ((start - w.first[text]).astype(U) << U(32)) | check[start]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(edge[start].view(np.int64)), *(part.column(c).take(pa.array(text)) for c in keys), pa.array(place.view(np.int64))],
-                    names=["edge", *keys, "place"],
+                    [
+                        pa.array(edge[start].view(np.int64)), pa.array(check[start].astype(np.uint32).view(np.int32)),
+                        *(part.column(c).take(pa.array(text)) for c in keys), pa.array((start - w.first[text]).astype(np.int32)),
+                    ],
+                    names=["edge", "check", *keys, "at"],
                 )
 
-    return slim.mapInArrow(run_, T.StructType([T.StructField("edge", T.LongType()), *slim.select(*keys).schema.fields, T.StructField("place", T.LongType())]))
+    first, last = T._parse_datatype_string("edge long, check int").fields, T._parse_datatype_string("at int").fields
+    return slim.mapInArrow(run_, T.StructType([*first, *slim.select(*keys).schema.fields, *last]))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -223,17 +229,16 @@ def _spans(keyed: DataFrame, window: int, run: int, filter_bits: int) -> DataFra
     release(spark)
     walks = _walks(slim, marks, passing, window, run, bits)
     edges = written(
-        walks.groupBy("edge")
-        .agg(F.min(F.struct("doc_id", "place")).alias("source"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+        walks.groupBy("edge", "check")
+        .agg(F.min(F.struct("doc_id", "at")).alias("source"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
         .where("source.doc_id < last")
-        .select("edge", F.col("source.doc_id").alias("source_doc"), F.col("source.place").alias("source_place"), "n")
+        .select("edge", "check", F.col("source.doc_id").alias("source_doc"), F.col("source.at").alias("source"), "n")
     )
     release(spark)
-    same = (F.col("place").bitwiseAND(0xFFFFFFFF)) == (F.col("source_place").bitwiseAND(0xFFFFFFFF))
-    steps_ = walks.join(edges, "edge").where((F.col("doc_id") > F.col("source_doc")) & same)
-    high = lambda c: F.shiftrightunsigned(c, 32).cast("int")
     walked = (
-        steps_.select(*keys, F.struct(high("place").alias("at"), "source_doc", high("source_place").alias("source"), "n").alias("step"))
+        walks.join(edges, ["edge", "check"])
+        .where(F.col("doc_id") > F.col("source_doc"))
+        .select(*keys, F.struct("at", "source_doc", "source", "n").alias("step"))
         .groupBy(*keys)
         .agg(F.collect_list("step").alias("steps"))  # no more steps than the document has words
     )

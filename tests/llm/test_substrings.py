@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sparkvec.llm import substrings as s
@@ -53,6 +55,24 @@ def test_random_passages_copies_and_loops(spark):
     assert digest(s.without_repeats(df, window=5, run=3, filter_bits=7)) == brute(rows, 5)
 
 
+@pytest.mark.parametrize("part", [0, 1])
+def test_windows_that_share_one_hash(spark, monkeypatch, part):
+    """Windows are keyed by both hashes: with one of them forced equal, results stay."""
+    real, longest = s.window_hashes, 13
+
+    def forced(h, n):
+        forced.calls = getattr(forced, "calls", -1) + (n == longest)
+        return real(h, n) & np.uint64(0x8000000080000001) if n == longest and forced.calls % 2 == part else real(h, n)
+
+    monkeypatch.setattr(s, "window_hashes", forced)
+    rng = random.Random(8)
+    shared = [[f"p{i}w{j}" for j in range(20)] for i in range(6)]
+    rows = [(d, " ".join([f"u{d}"] * 3 + rng.choice(shared) + [f"v{d}"] * 3 + rng.choice(shared))) for d in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    got = digest(s.without_repeats(df, filter_bits=16))
+    assert got == brute(rows, 13)
+
+
 def test_spans_name_their_source(spark):
     base = [f"w{i}" for i in range(40)]
     rows = [(1, " ".join(base)), (2, " ".join(["q"] * 3 + base[5:30])), (3, " ".join(base))]
