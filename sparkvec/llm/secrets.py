@@ -4,13 +4,16 @@ Every version of a text is addressed by the SHA-256 of its bytes, so equal texts
 are one blob however many paths hold it.  The ledger is a table of what has been
 scanned: a row has a blob, the rule versions it was scanned with and what they
 found.  A run scans only the (blob, rule version) pairs that the ledger lacks,
-appends one batch, and joins the findings of all blobs back to all paths.
+appends one batch, and joins the findings of all blobs back to all paths.  Findings
+are kept by rule version, and a run reports those of its own versions only.
 
 Spans come from splitting a text at a rule's matches: the lengths of the pieces
 and of the matches, summed in order, are code point offsets.
 
-A null text is an empty one.  Repeated rows stay; rows with null ids are scanned
-like others.  Other columns are kept by :func:`redacted` and not read otherwise.
+A null text is an empty one.  Repeated rows stay and share a blob; rows with null ids
+are scanned like others.  Texts are scanned whole however long.  Spans that start
+together stand in the order of the rules.  A table without rows gives none.  Other
+columns are kept by :func:`redacted` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -48,7 +51,8 @@ BASE = (
 )
 ADDED = (
     Rule("forge", 1, r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    # To the END line; where there is none, over what follows without a space.
+    Rule("private_key", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\x20\t\r\n]*-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/=\r\n]*)", 0, 1),
 )
 RULES = BASE + ADDED
 FOUND = "array<struct<rule:string,start:int,end:int>>"
@@ -104,7 +108,7 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> N
         .withColumn("rules", F.array_except(keys, "known"))
         .where(F.size("rules") > 0)
     )
-    per_rule = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("nth"), _matches(r).alias("m")) for i, r in enumerate(rules)])
+    per_rule = F.array(*[F.struct(F.lit(r.key).alias("rule"), F.lit(i).alias("nth"), _matches(r).alias("m")) for i, r in enumerate(rules)])
     flat = F.flatten(
         F.transform(
             per_rule,
@@ -125,23 +129,23 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> N
 def findings(versions: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """versions, each with ``blob`` and ``found``: spans of all rules by start, then rule order.
 
-    Columns of versions called blob or found are not allowed; use :func:`redacted`
-    for tables with any columns.  Without a ledger a new one is made for this run.
+    Columns of versions called blob or found are replaced; :func:`redacted` keeps all.
+    Without a ledger a new one is made for this run.
     """
     spark = versions.sparkSession
     ledger = ledger or f"{shared_dir(spark)}/ledger"
     scan(versions, ledger, rules)
-    order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
-    wanted = F.array(*[F.lit(r.name) for r in rules])
+    order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
+    wanted = F.array(*[F.lit(r.key) for r in rules])
     spans = (
         open_ledger(spark, ledger)
         .where(F.size("found") > 0)
         .select("blob", F.explode("found").alias("f"))
         .where(F.array_contains(wanted, F.col("f.rule")))
         .groupBy("blob")
-        .agg(F.array_sort(F.collect_set(F.struct(F.col("f.start").alias("start"), order[F.col("f.rule")].alias("nth"), F.col("f.end").alias("end"), F.col("f.rule").alias("rule")))).alias("found"))
+        .agg(F.array_sort(F.collect_set(F.struct(F.col("f.start").alias("start"), order[F.col("f.rule")].alias("nth"), F.col("f.end").alias("end"), F.substring_index("f.rule", "@", 1).alias("rule")))).alias("found"))
     )
-    paths = versions.withColumn("blob", content_address(F.col("text")))
+    paths = versions.drop("blob", "found").withColumn("blob", content_address(F.col("text")))
     return paths.join(spans, "blob", "left").withColumn(
         "found",
         F.coalesce(

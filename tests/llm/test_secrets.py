@@ -43,10 +43,10 @@ def test_ledger_scans_only_what_it_lacks(spark):
     assert s.open_ledger(spark, ledger).count() == 2
     s.scan(rows.union(rows), ledger)
     assert s.open_ledger(spark, ledger).count() == 4
-    newer = (*s.RULES[:-1], s.Rule("private_key", 2, "BEGIN [A-Z ]*KEY", 0, 1))
+    newer = (*s.RULES[:-1], s.Rule("private_key", 3, "BEGIN [A-Z ]*KEY", 0, 1))
     s.scan(rows, ledger, newer)
-    added = s.open_ledger(spark, ledger).where("array_contains(rules, 'private_key@2')")
-    assert added.count() == 4 and {tuple(r.rules) for r in added.collect()} == {("private_key@2",)}
+    added = s.open_ledger(spark, ledger).where("array_contains(rules, 'private_key@3')")
+    assert added.count() == 4 and {tuple(r.rules) for r in added.collect()} == {("private_key@3",)}
     s.scan(rows, ledger, newer)
     assert s.open_ledger(spark, ledger).count() == 8
 
@@ -58,3 +58,30 @@ def test_masking_keeps_rows_and_columns(spark, docs, clashing):
         assert not [x for x in base(r.text) if "SECRET" not in r.text[x[0] : x[2]]]
     texts = Counter(r.text for r in s.redacted(docs).collect())
     assert texts["no id but text, [SECRET]"] == 1 and texts[None] == 2 and sum(texts.values()) == docs.count()
+
+
+def test_findings_of_older_versions_are_not_reported(spark):
+    rows = spark.createDataFrame(MORE, "doc_id long, text string")
+    ledger = f"{shared_dir(spark)}/ledger"
+    names = lambda rules: {x.rule for r in s.findings(rows, ledger, rules).collect() for x in r.found}
+    assert "forge" in names(s.RULES)
+    newer = tuple(s.Rule("forge", 2, "matches nothing here", 0, 1) if r.name == "forge" else r for r in s.RULES)
+    assert "forge" not in names(newer) and "forge" in names(s.RULES)
+
+
+def test_columns_of_the_result_are_replaced(spark):
+    rows = spark.createDataFrame(MORE, "doc_id long, text string").selectExpr("*", "1 as blob", "'x' as found")
+    got = s.findings(rows).collect()
+    assert len(got) == len(MORE) and all(len(r.blob) == 64 for r in got) and any(r.found for r in got)
+
+
+def test_private_key_bodies(spark):
+    body = "MIIEowIBAAKCAQEA7bq\nAbC+/x9=\n"
+    texts = [
+        f"a -----BEGIN RSA PRIVATE KEY-----\n{body}-----END RSA PRIVATE KEY----- b",
+        f"a -----BEGIN PRIVATE KEY-----\n{body}Then some words.",
+        "-----BEGIN PRIVATE KEY-----\nAAAA\n-----END PRIVATE KEY----- mid -----BEGIN PRIVATE KEY-----\nBBBB\n-----END PRIVATE KEY-----",
+        "-----BEGIN PRIVATE KEY-----\n" + "QUJD\n" * 20000,
+    ]
+    out = {r.doc_id: r.text for r in s.redacted(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {0: "a [SECRET] b", 1: "a [SECRET] some words.", 2: "[SECRET] mid [SECRET]", 3: "[SECRET]"}
