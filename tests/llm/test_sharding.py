@@ -42,3 +42,20 @@ def test_every_place_is_reached(spark):
     rows = spark.range(64).selectExpr("id as doc_id", "'x' as text")
     seen = {sharding.write_shards(rows, shared_dir(spark), 4, seed=s).where("row.doc_id = 0").first().shard for s in range(12)}
     assert len(seen) >= 3
+
+
+def test_copies_of_one_record_are_dealt_over_the_buckets(spark):
+    """A third of all rows are one record, others share an id or have none: no bucket gets more than its share."""
+    rows = [(1, "same text")] * 3000 + [(2, f"version {i}") for i in range(2000)] + [(None, None)] * 1500 + [(i, "x" * 9) for i in range(10, 2510)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    held = sharding._scattered(df, 30, 1, 3000)
+    sizes = [r["count"] for r in held.groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(rows) and len(sizes) == 30 and max(sizes) < 1.5 * len(rows) / 30
+    assert Counter(tuple(r.row) for r in held.collect()) == Counter(rows)
+
+
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_a_task_takes_several_buckets(spark, docs, tasks):
+    one = sharding.write_shards(docs, shared_dir(spark), 4, bucket_bytes=2000)
+    few = sharding.write_shards(docs, shared_dir(spark), 4, bucket_bytes=2000, tasks=tasks)
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, few.collect()))
