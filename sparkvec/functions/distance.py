@@ -1,7 +1,8 @@
 """Vector distances as columns; smaller is closer.
 
 l2 is squared, ip is negated, cosine is 1 - similarity and 1.0 for a zero vector.
-All arithmetic is in double, whatever the stored type.
+All arithmetic is in double, whatever the stored type.  Vectors of different lengths,
+and null ones, have a null distance; searches leave their rows out.
 """
 
 from __future__ import annotations
@@ -43,12 +44,13 @@ def norm(v: Column) -> Column:
 def distance(metric: str, a: Column, b: Column) -> Column:
     """Distance of two array columns."""
     check_metric(metric)
+    alike = F.size(a) == F.size(b)
     if metric == "l2":
-        return _sum(F.zip_with(_double(a), _double(b), lambda x, y: (x - y) * (x - y)))
+        return F.when(alike, _sum(F.zip_with(_double(a), _double(b), lambda x, y: (x - y) * (x - y))))
     if metric == "ip":
-        return -dot(a, b)
+        return F.when(alike, -dot(a, b))
     both = norm(a) * norm(b)
-    return F.when(both > 0, 1 - dot(a, b) / both).otherwise(1.0)
+    return F.when(alike, F.when(both > 0, 1 - dot(a, b) / both).otherwise(1.0))
 
 
 def distance_to(metric: str, column: Column, vector: Sequence[float]) -> Column:
@@ -61,15 +63,16 @@ def distance_to(metric: str, column: Column, vector: Sequence[float]) -> Column:
     q = [float(np.float32(x)) for x in vector]
     if len(q) > UNROLL or not q:
         return distance(metric, column, F.array(*[F.lit(x) for x in q]) if q else F.array().cast("array<double>"))
-    x = [column[i].cast("double") for i in range(len(q))]
+    x = [F.get(column, F.lit(i)).cast("double") for i in range(len(q))]
     add = lambda terms: reduce(lambda s, t: s + t, terms)
+    alike = F.size(column) == len(q)
     if metric == "l2":
-        return add([(c - v) * (c - v) for c, v in zip(x, q, strict=True)])
+        return F.when(alike, add([(c - v) * (c - v) for c, v in zip(x, q, strict=True)]))
     product = add([c * v for c, v in zip(x, q, strict=True)])
     if metric == "ip":
-        return -product
+        return F.when(alike, -product)
     both = F.sqrt(add([c * c for c in x])) * float(np.sqrt(sum(v * v for v in q)))
-    return F.when(both > 0, 1 - product / both).otherwise(1.0)
+    return F.when(alike, F.when(both > 0, 1 - product / both).otherwise(1.0))
 
 
 def similarity(dist: Column, clamp: bool = False) -> Column:

@@ -3,7 +3,8 @@
 One query is a projection and an ordered limit: every task keeps its k best and
 the driver merges k rows a task.  Many queries are scored in blocks by matrix
 products; a task keeps k rows a query, and a window merges them.
-Ties are broken by vec_id.
+Ties are broken by vec_id.  Rows whose embedding is null or of another length than the
+query are left out.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ def search(rows: DataFrame, query: Sequence[float], top_k: int = 10, metric: str
         rows = rows.where(where)
     if candidates is not None:
         rows = rows.join(candidates.select("vec_id"), "vec_id", "left_semi")
+    rows = rows.where(F.size("embedding") == len(query))
     scored = rows.select("vec_id", distance_to(metric, F.col("embedding"), query).alias("distance"))
     return scored.orderBy("distance", "vec_id").limit(max(top_k, 0))
 
@@ -74,8 +76,9 @@ def batch_search(rows: DataFrame, queries: DataFrame, top_k: int = 10, metric: s
     """(qid, vec_id, distance, rank) of the top_k nearest rows of each query (qid, embedding)."""
     check_metric(metric)
     spark, slim, out = rows.sparkSession, rows.select(F.col("vec_id").cast("long"), "embedding"), None
-    for more in _blocks(queries.select("qid", "embedding").toLocalIterator(), block):
+    for more in _blocks(queries.select("qid", "embedding").where("embedding is not null").toLocalIterator(), block):
         sent = spark.sparkContext.broadcast((np.array([r.qid for r in more], dtype=object), np.array([list(r.embedding) for r in more], float)))
+        dim = len(more[0].embedding)
 
         def run(batches, sent=sent):
             names, q = sent.value
@@ -87,7 +90,7 @@ def batch_search(rows: DataFrame, queries: DataFrame, top_k: int = 10, metric: s
             query, dist, vec = top.best
             yield pa.RecordBatch.from_arrays([pa.array(names[query].tolist(), pa.int64()), pa.array(vec), pa.array(dist)], names=["qid", "vec_id", "distance"])
 
-        found = slim.mapInArrow(run, "qid long, vec_id long, distance double")
+        found = slim.where(F.size("embedding") == dim).mapInArrow(run, "qid long, vec_id long, distance double")
         out = found if out is None else out.union(found)
     if out is None:
         out = spark.createDataFrame([], "qid long, vec_id long, distance double")

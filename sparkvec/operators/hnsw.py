@@ -1,9 +1,11 @@
 """Sharded graph index: a navigable small-world graph for each hash shard.
 
-A shard has a bounded expected number of rows, and its graph is built and searched
-in one task.  Levels come from a hash of the id, so a build is reproducible and
-does not depend on the order of arrival.  Deleted rows stay in the graph as
-tombstones and are hidden from results.
+A shard has a bounded expected number of rows; its graph is built in one task and kept
+as one row, so a search reads shards as they are stored, without a shuffle.  Levels
+come from a hash of the id, so a build is reproducible and does not depend on the
+order of arrival.  Deleted rows stay in the graph as tombstones: a walk passes them,
+but they take no place among its results, nor do rows that are not candidates.
+Rows without an embedding are left out.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from sparkvec.functions.distance import check_metric, paired
 from sparkvec.operators import flat
 
-GRAPH = "shard int, vec_id long, level int, embedding array<float>, links array<array<int>>"
+#: One row a shard: its nodes in order of id.
+GRAPH = "shard int, vec_id array<long>, level array<int>, embedding array<array<float>>, links array<array<array<int>>>"
 
 
 class Graph:
@@ -36,11 +39,11 @@ class Graph:
         rows = self.x[nodes]
         return paired(self.metric, np.broadcast_to(q, rows.shape), rows)
 
-    def beam(self, q: np.ndarray, entries: list[int], ef: int, layer: int) -> list[tuple[float, int]]:
-        """The ef nearest nodes that a best-first walk from the entries meets on a layer, in order."""
+    def beam(self, q: np.ndarray, entries: list[int], ef: int, layer: int, shown: np.ndarray | None = None) -> list[tuple[float, int]]:
+        """The ef nearest nodes that a best-first walk from the entries meets on a layer, in order; of the shown ones."""
         seen = set(entries)
-        start = [(float(d), n) for d, n in zip(self.to(q, entries), entries, strict=True)]
-        todo, best = list(start), [(-d, -n) for d, n in start]
+        todo = [(float(d), n) for d, n in zip(self.to(q, entries), entries, strict=True)]
+        best = [(-d, -n) for d, n in todo if shown is None or shown[n]]
         heapq.heapify(todo)
         heapq.heapify(best)
         while todo:
@@ -54,9 +57,10 @@ class Graph:
             for far, n in zip(self.to(q, fresh).tolist(), fresh, strict=True):
                 if len(best) < ef or far < -best[0][0]:
                     heapq.heappush(todo, (far, n))
-                    heapq.heappush(best, (-far, -n))
-                    if len(best) > ef:
-                        heapq.heappop(best)
+                    if shown is None or shown[n]:
+                        heapq.heappush(best, (-far, -n))
+                        if len(best) > ef:
+                            heapq.heappop(best)
         return sorted((-d, -n) for d, n in best)
 
     def descend(self, q: np.ndarray, down_to: int) -> list[int]:
@@ -87,20 +91,25 @@ class Graph:
             self.entry = node
 
 
-def _searcher(sent, metric: str, ef: int):
-    """A function of one shard's table: the ef nearest nodes of each of the broadcast queries."""
-
-    def run(group):
-        group = group.sort_by("vec_id")
-        ids = group.column("vec_id").to_numpy()
-        g = Graph(flat.matrix(group.column("embedding")), metric)
-        g.links = group.column("links").to_pylist()
-        g.entry = int(group.column("level").to_numpy().argmax())
-        rows = []
-        for qid, q in sent.value:
-            q = np.asarray(q, float)
-            rows += [(qid, int(ids[n]), d) for d, n in g.beam(q, g.descend(q, 0), ef, 0)]
-        return pa.table({"qid": pa.array([r[0] for r in rows], pa.int64()), "vec_id": pa.array([r[1] for r in rows], pa.int64()), "distance": pa.array([r[2] for r in rows], pa.float64())})
+def _searcher(sent, metric: str, ef: int, top_k: int, mode: str):
+    """Over shard rows (vec_id, level, embedding, links, marked): the top_k nearest nodes of each of the broadcast queries."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, vectors = batch.column("vec_id")[i].values.to_numpy(), batch.column("embedding")[i].values
+                g = Graph(flat.matrix(vectors), metric)
+                g.links = batch.column("links")[i].as_py()
+                g.entry = int(batch.column("level")[i].values.to_numpy().argmax())
+                marked = batch.column("marked")[i].as_py() or []
+                shown = None if not mode else np.isin(ids, marked, invert=mode == "hidden")
+                if shown is not None and not shown.any():
+                    continue
+                rows = []
+                for qid, q in sent.value:
+                    q = np.asarray(q, float)
+                    rows += [(qid, int(ids[n]), d) for d, n in g.beam(q, g.descend(q, 0), ef, 0, shown)[:top_k]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["qid", "vec_id", "distance"])
 
     return run
 
@@ -115,9 +124,24 @@ class HNSWIndex:
     deleted: DataFrame | None = None
 
     def live(self) -> DataFrame:
-        rows = self.graph.select("vec_id", "embedding")
+        rows = self.graph.select(F.explode(F.arrays_zip("vec_id", "embedding")).alias("node")).select("node.vec_id", "node.embedding")
         return rows if self.deleted is None else rows.join(self.deleted, "vec_id", "left_anti")
 
+    def _marked(self, candidates: DataFrame | None) -> tuple[DataFrame, str]:
+        """The shards with the ids that a search shows or hides, and which of the two."""
+        if candidates is None and self.deleted is None:
+            return self.graph.withColumn("marked", F.lit(None).cast("array<long>")), ""
+        wanted, mode = (self.deleted, "hidden") if candidates is None else (candidates.select("vec_id"), "shown")
+        if candidates is not None and self.deleted is not None:
+            wanted = wanted.join(self.deleted, "vec_id", "left_anti")
+        ids = self.graph.select("shard", F.explode("vec_id").alias("vec_id")).join(wanted, "vec_id", "left_semi")
+        return self.graph.join(ids.groupBy("shard").agg(F.collect_list("vec_id").alias("marked")), "shard", "left"), mode
+
+    def kept(self, path: str) -> HNSWIndex:
+        """The same index with its graph written below ``path``, so that it is built once."""
+        self.graph.write.parquet(path)
+        return HNSWIndex(self.graph.sparkSession.read.schema(GRAPH).parquet(path), self.metric, self.ef_search, self.deleted)
+
     def remove(self, ids: DataFrame) -> HNSWIndex:
         """With more tombstones; unknown ids do nothing."""
         gone = ids.select("vec_id")
@@ -125,24 +149,15 @@ class HNSWIndex:
         return HNSWIndex(self.graph, self.metric, self.ef_search, gone.distinct())
 
     def batch_search(self, queries: DataFrame, top_k: int = 10, ef: int | None = None, candidates: DataFrame | None = None, block: int = flat.QUERY_BLOCK) -> DataFrame:
-        """(qid, vec_id, distance, rank): every shard is searched, then merged.
-
-        Tombstones and candidates are applied to the beam's nodes, so ef bounds how
-        many rows a filter can leave; see :meth:`search` for selective filters.
-        """
-        metric, wide = self.metric, max(ef or self.ef_search, top_k)
-        spark, out = self.graph.sparkSession, None
-        for more in flat._blocks(queries.select("qid", "embedding").toLocalIterator(), block):
+        """(qid, vec_id, distance, rank): every shard is searched, then merged."""
+        spark, out, wide = self.graph.sparkSession, None, max(ef or self.ef_search, top_k)
+        shards, mode = self._marked(candidates)
+        for more in flat._blocks(queries.select("qid", "embedding").where("embedding is not null").toLocalIterator(), block):
             sent = spark.sparkContext.broadcast([(r.qid, list(r.embedding)) for r in more])
-
-            found = self.graph.groupBy("shard").applyInArrow(_searcher(sent, metric, wide), "qid long, vec_id long, distance double")
+            found = shards.mapInArrow(_searcher(sent, self.metric, wide, max(top_k, 0), mode), "qid long, vec_id long, distance double")
             out = found if out is None else out.union(found)
         if out is None:
             out = spark.createDataFrame([], "qid long, vec_id long, distance double")
-        if self.deleted is not None:
-            out = out.join(self.deleted, "vec_id", "left_anti")
-        if candidates is not None:
-            out = out.join(candidates.select("vec_id"), "vec_id", "left_semi")
         by = W.partitionBy("qid").orderBy("distance", "vec_id")
         return out.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= max(top_k, 0)).select("qid", "vec_id", "distance", "rank")
 
@@ -155,7 +170,7 @@ class HNSWIndex:
 
 
 def build(rows: DataFrame, metric: str = "l2", M: int = 16, ef_construction: int = 200, ef_search: int = 50, seed: int = 42, shard_rows: int = 50_000) -> HNSWIndex:
-    """An index over rows (vec_id, embedding); write and reread ``graph`` to keep it."""
+    """An index over rows (vec_id, embedding); see :meth:`HNSWIndex.kept`."""
     check_metric(metric)
     if M < 2:
         raise ValueError("M must be at least 2")
@@ -163,13 +178,15 @@ def build(rows: DataFrame, metric: str = "l2", M: int = 16, ef_construction: int
     u = (F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 40)) + 1) / float(1 << 40)
     level = F.floor(-F.log(u) / math.log(M)).cast("int")
     shard = F.pmod(F.xxhash64("vec_id", F.lit(seed + 1)), F.lit(shards)).cast("int")
-    slim = rows.select(shard.alias("shard"), F.col("vec_id").cast("long").alias("vec_id"), level.alias("level"), F.col("embedding").cast("array<float>").alias("embedding"))
+    slim = rows.where("embedding is not null").select(shard.alias("shard"), F.col("vec_id").cast("long").alias("vec_id"), level.alias("level"), F.col("embedding").cast("array<float>").alias("embedding"))
 
     def run(group):
         group = group.sort_by("vec_id")
         g = Graph(flat.matrix(group.column("embedding")), metric)
         for node, top in enumerate(group.column("level").to_pylist()):
             g.insert(node, top, M, ef_construction)
-        return group.append_column("links", pa.array(g.links, pa.list_(pa.list_(pa.int32()))))
+        one = lambda values: pa.array([values.to_pylist()], pa.list_(values.type))
+        links = pa.array([g.links], pa.list_(pa.list_(pa.list_(pa.int32()))))
+        return pa.table([group.column("shard")[:1].combine_chunks(), *(one(group.column(c)) for c in ("vec_id", "level", "embedding")), links], names=["shard", "vec_id", "level", "embedding", "links"])
 
     return HNSWIndex(slim.groupBy("shard").applyInArrow(run, GRAPH), metric, ef_search)

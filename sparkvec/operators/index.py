@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sparkvec.functions.distance import check_metric
 from sparkvec.operators import flat, hnsw
 from sparkvec.operators.ivf import IVF, IVFModel
+from sparkvec.sources import files
 
 _ROWS = "vec_id long, embedding array<float>"
 
@@ -81,7 +82,7 @@ class FlatIndex:
 
 @dataclass(frozen=True)
 class IVFIndex(FlatIndex):
-    """Rows with their bucket; trained on the first rows that are added."""
+    """Rows with their bucket, written by bucket as they are added; trained on the first rows that are added."""
 
     trainer: IVF = field(default_factory=IVF)
     model: IVFModel | None = None
@@ -89,7 +90,7 @@ class IVFIndex(FlatIndex):
     def add(self, rows: DataFrame) -> VectorIndex:
         rows = checked(rows, self.rows, self.dim)
         model = self.model or self.trainer.fit(rows)
-        return replace(self, model=model, rows=self.rows.unionByName(model.transform(rows)))
+        return replace(self, model=model, rows=self.rows.unionByName(model.write(rows, files.scratch(rows.sparkSession))))
 
     def search(self, query: Sequence[float], top_k: int = 10, candidates: DataFrame | None = None) -> DataFrame:
         if self.model is None:
@@ -103,7 +104,7 @@ class IVFIndex(FlatIndex):
 
 @dataclass(frozen=True)
 class GraphIndex(FlatIndex):
-    """Rows and the sharded graph over them, built on the first search after a change."""
+    """Rows and the sharded graph over them, built and written on the first search after additions."""
 
     params: dict = field(default_factory=dict)
     _built: list = field(default_factory=list)
@@ -117,7 +118,7 @@ class GraphIndex(FlatIndex):
 
     def graph(self) -> hnsw.HNSWIndex:
         if not self._built:
-            self._built.append(hnsw.build(self.rows, self.metric, **self.params))
+            self._built.append(hnsw.build(self.rows, self.metric, **self.params).kept(files.scratch(self.rows.sparkSession)))
         return self._built[0]
 
     def search(self, query: Sequence[float], top_k: int = 10, candidates: DataFrame | None = None) -> DataFrame:
@@ -149,9 +150,7 @@ def benchmark(index: VectorIndex, rows: DataFrame, queries: DataFrame, top_k: in
     began = time.perf_counter()
     index = index.add(rows)
     if isinstance(index, GraphIndex):
-        built = index.graph()
-        built.graph = built.graph.persist()
-        built.graph.count()
+        index.graph()
     build = time.perf_counter() - began
     began = time.perf_counter()
     found = index.batch_search(queries, top_k).persist()

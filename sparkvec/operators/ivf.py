@@ -1,7 +1,8 @@
 """Inverted-file index: rows live in the bucket of their nearest centroid.
 
 Assignment and probing are by squared L2 whatever the metric; the metric only
-scores.  Training is explicit and over all rows; k-means steps are per-task sums.
+scores.  Training is explicit and over all rows given; k-means steps are per-task sums.
+Rows whose embedding is null or of another length than the model's are left out.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def lloyd_step(rows: DataFrame, centroids: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some]), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["bucket", "n", "total"])
 
-    sums = rows.select("embedding").mapInArrow(run, "bucket long, n double, total array<double>")
+    sums = rows.select("embedding").where(F.size("embedding") == centroids.shape[1]).mapInArrow(run, "bucket long, n double, total array<double>")
     sums = sums.select("bucket", "n", F.posexplode("total").alias("pos", "x")).groupBy("bucket", "pos").agg((F.sum("x") / F.sum("n")).alias("mean"))
     out = centroids.copy()
     for r in sums.toLocalIterator():  # nlist x dim numbers, the size of the model
@@ -67,7 +68,7 @@ class IVFModel:
     def transform(self, rows: DataFrame) -> DataFrame:
         """rows with ``bucket_id``; write them partitioned by it and a search reads only its buckets."""
         sent = rows.sparkSession.sparkContext.broadcast(self.centroids)
-        rows = rows.drop("bucket_id")
+        rows = rows.drop("bucket_id").where(F.size("embedding") == self.centroids.shape[1])
         names = rows.columns
         packed = rows.select(F.struct(*names).alias("__row"), F.col("embedding").alias("__v"))
 
@@ -79,6 +80,12 @@ class IVFModel:
         schema = T.StructType([packed.schema["__row"], T.StructField("bucket_id", T.IntegerType())])
         return packed.mapInArrow(run, schema).select("__row.*", "bucket_id")
 
+    def write(self, rows: DataFrame, path: str) -> DataFrame:
+        """rows with ``bucket_id``, written below ``path`` in a folder a bucket and read from there."""
+        self.transform(rows).write.partitionBy("bucket_id").parquet(path)
+        schema = T.StructType([*rows.drop("bucket_id").schema.fields, T.StructField("bucket_id", T.IntegerType())])
+        return rows.sparkSession.read.schema(schema).parquet(path)
+
     def probes(self, query: Sequence[float], nprobe: int | None = None) -> list[int]:
         """Buckets of the nprobe centroids nearest to a query, in order."""
         d = paired("l2", np.asarray([np.float32(x) for x in query], float)[None, :], self.centroids)
@@ -118,9 +125,10 @@ class IVF:
     max_iter: int = 20
 
     def fit(self, rows: DataFrame, seeds: DataFrame | None = None) -> IVFModel:
-        """Train on rows (vec_id, embedding); seeds: rows to start from, else nlist chosen by hash."""
+        """Train on rows (vec_id, embedding); seeds: rows to start from, else the nlist of least hash of seed and id."""
+        rows = rows.where("embedding is not null")
         if seeds is None:
-            seeds = rows.orderBy(F.xxhash64("vec_id", F.lit(self.seed)), "vec_id").limit(self.nlist)
+            seeds = rows.orderBy(F.md5(F.concat(F.lit(f"{self.seed}:"), F.col("vec_id").cast("string"))), "vec_id").limit(self.nlist)
         first = [list(r.embedding) for r in seeds.orderBy("vec_id").select("embedding").collect()]  # nlist rows
         if not first:
             raise ValueError("an inverted file needs at least one row to train on")

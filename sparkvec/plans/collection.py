@@ -1,8 +1,11 @@
 """A collection: rows with metadata, their index, and their durability.
 
-Mutations are validated, then committed as a segment of the operation log; reads
-see the last operation of each id over the last snapshot.  Without a write-ahead
-log, segments go to a scratch folder that does not outlive the collection.
+Mutations are validated, then committed as a segment of the operation log.  Reads see
+the snapshot less the ids that the log names, and what the log says of those, so
+only the log is grouped; after a checkpoint the snapshot is read as it is.  An index is
+searched together with an exact scan of what was written since it was built, and built
+anew when that is much.  Without a write-ahead log, segments go to a scratch folder that
+does not outlive the collection.
 
 Point writes cost a Spark job each: batch them with ``insert_many``.
 """
@@ -10,9 +13,9 @@ Point writes cost a Spark job each: batch them with ``insert_many``.
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ from sparkvec.plans.config import CollectionConfig
 from sparkvec.plans.filters import compile_filter
 from sparkvec.sources import files, oplog, snapshot
 
+#: Operations since an index was built that are scanned beside it, if they are not a fifth of its rows.
+STALE_ROWS = 1_000
 _ROWS = "vec_id long, embedding array<float>, metadata string"
 
 
@@ -37,12 +42,23 @@ def duplicate_ids(rows: DataFrame, live: DataFrame) -> DataFrame:
     return inside.union(rows.select("vec_id").join(live.select("vec_id"), "vec_id", "left_semi")).distinct()
 
 
+@dataclass
+class _Index:
+    """A built index, the number of the first operation that it lacks, its folder and its rows."""
+
+    held: object
+    seq: int
+    path: str
+    rows: int
+
+
 class Collection:
     def __init__(self, spark: SparkSession, config: CollectionConfig, data_dir: str | None = None):
         if config.enable_wal and not data_dir:
             raise ValueError("a write-ahead log needs data_dir")
         self.spark, self.config, self.data_dir = spark, config, data_dir
-        self._rows, self._offset, self._index = None, 0, None
+        self._rows, self._offset = None, 0
+        self._index: _Index | None = None
         if data_dir and snapshot.current(spark, f"{data_dir}/snapshot"):
             stored, self._rows, self._offset = snapshot.load(spark, f"{data_dir}/snapshot")
             if (stored.dim, stored.metric) != (config.dim, config.metric):
@@ -52,24 +68,22 @@ class Collection:
             self._offset = 0
 
     def _scratch(self) -> str:
-        """Beside the data, else in the shared folder; a local session may fall back to a temporary one."""
-        top = self.data_dir or self.spark.conf.get("spark.checkpoint.dir", None)
-        if not top:
-            if not self.spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir or give data_dir")
-            top = tempfile.mkdtemp(prefix="sparkvec-")
-        self._own = f"{top.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        self._own = files.scratch(self.spark, self.data_dir)
         return self._own
 
     # Reads
 
     def rows(self) -> DataFrame:
         """Live rows (vec_id, embedding, metadata as JSON text)."""
-        ops = self._log.read(self._offset)
-        if self._rows is not None:
-            base = self._rows.select(F.lit(-1).cast("long").alias("seq"), F.lit("insert").alias("op"), "vec_id", "embedding", "metadata")
-            ops = base.unionByName(ops)
-        return oplog.latest(ops)
+        base = self._rows if self._rows is not None else self.spark.createDataFrame([], _ROWS)
+        base = base.select("vec_id", "embedding", "metadata")
+        return self._since(self._offset, base) if self._log.count(self._offset) else base
+
+    def _since(self, offset: int, base: DataFrame) -> DataFrame:
+        """base as the operations from an offset on leave it."""
+        last = oplog.log_ends(self._log.read(offset))
+        kept = base.join(last.select("vec_id"), "vec_id", "left_anti")
+        return kept.unionByName(last.where("op = 'insert'").select("vec_id", "embedding", "metadata"))
 
     def table(self) -> DataFrame:
         """Live rows with ``metadata`` as VARIANT."""
@@ -114,12 +128,17 @@ class Collection:
         """Delete ids; unknown ones do nothing."""
         ids = [ids] if isinstance(ids, int) else list(ids)
         if ids:
-            gone = self.spark.createDataFrame([(int(i),) for i in ids], "vec_id long").distinct()
-            self._commit(gone.select(F.lit("delete").alias("op"), "vec_id", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("metadata")))
+            self.delete_rows(self.spark.createDataFrame([(int(i),) for i in ids], "vec_id long"))
+
+    def delete_rows(self, ids: DataFrame) -> None:
+        """Delete the ids of a table (vec_id)."""
+        gone = ids.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id is not null").distinct()
+        self._commit(gone.select(F.lit("delete").alias("op"), "vec_id", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("metadata")))
 
     def _commit(self, ops: DataFrame) -> None:
-        self._log.append(ops, ops.count())
-        self._index = None
+        if not (rows := ops.count()):
+            return
+        self._log.append(ops, rows)
         if self.config.enable_wal and self._log.count() >= self.config.auto_checkpoint_threshold:
             self.checkpoint()
 
@@ -135,26 +154,41 @@ class Collection:
         where, c = compile_filter(filter), self.config
         if c.index_type == "flat":
             return flat.search(self.table(), query, top_k, c.metric, where)
-        if self._index is None:
+        if self._index is None or self._log.count(self._index.seq) > max(STALE_ROWS, self._index.rows // 5):
+            self._drop_index()
             if self.rows().isEmpty():
                 return flat.search(self.table(), query, top_k, c.metric)
             self._index = self._built()
+        index, fresh = self._index, None
+        touched = oplog.log_ends(self._log.read(index.seq)) if self._log.count(index.seq) else None
+        variant = lambda rows: rows.withColumn("metadata", F.parse_json(F.coalesce("metadata", F.lit("{}"))))
         if c.index_type == "ivf":
-            model, bucketed = self._index
-            return model.search(bucketed.withColumn("metadata", F.parse_json(F.coalesce("metadata", F.lit("{}")))), query, top_k, c.metric, where)
-        return self._index.search(query, top_k, self.table().where(where).select("vec_id") if where is not None else None)
+            model, bucketed = index.held
+            bucketed = bucketed if touched is None else bucketed.join(touched.select("vec_id"), "vec_id", "left_anti")
+            found = model.search(variant(bucketed), query, top_k, c.metric, where)
+        else:
+            graph = index.held if touched is None else index.held.remove(touched)
+            found = graph.search(query, top_k, self.table().where(where).select("vec_id") if where is not None else None)
+        if touched is not None:
+            fresh = flat.search(variant(touched.where("op = 'insert'")), query, top_k, c.metric, where)
+            found = found.unionByName(fresh).orderBy("distance", "vec_id").limit(max(top_k, 0))
+        return found
+
+    def _drop_index(self) -> None:
+        if self._index is not None:
+            files.delete(self.spark, self._index.path)
+        self._index = None
 
-    def _built(self):
+    def _built(self) -> _Index:
         """The index over the live rows, written beside the log so that searches read it."""
-        p, top = self.config.params, f"{self._log.path}/../index-{uuid.uuid4().hex}"
+        p, path, seq = self.config.params, f"{self._log.path}-index-{uuid.uuid4().hex}", self._log.next_seq()
+        rows = self.rows()
         if self.config.index_type == "ivf":
-            rows = self.rows()
             model = IVF(p["nlist"], p["nprobe"], p["seed"], p["max_iter"]).fit(rows)
-            model.transform(rows).write.partitionBy("bucket_id").parquet(top)
-            return model, self.spark.read.parquet(top)
-        index = hnsw.build(self.rows(), self.config.metric, p["M"], p["ef_construction"], p["ef_search"], p["seed"], p["shard_rows"])
-        index.graph.write.parquet(top)
-        return hnsw.HNSWIndex(self.spark.read.schema(hnsw.GRAPH).parquet(top), index.metric, index.ef_search)
+            held = model, model.write(rows, path)
+        else:
+            held = hnsw.build(rows, self.config.metric, p["M"], p["ef_construction"], p["ef_search"], p["seed"], p["shard_rows"]).kept(path)
+        return _Index(held, seq, path, rows.count())
 
     def enriched(self, query: Sequence[float], top_k: int = 10, filter: dict | None = None) -> list[tuple[int, float, dict]]:
         """Hits with their metadata, which is read for the hits only."""
@@ -170,6 +204,8 @@ class Collection:
         if not self.data_dir:
             raise RuntimeError("a checkpoint needs data_dir")
         offset = self._log.next_seq() if self.config.enable_wal else 0
+        if self._index is not None and (not self.config.enable_wal or self._index.seq < offset):
+            self._drop_index()  # the operations that it lacks are leaving the log
         path = f"{self.data_dir}/snapshot"
         snapshot.save(self.rows(), path, self.config, offset)
         _, self._rows, _ = snapshot.load(self.spark, path)
@@ -195,6 +231,7 @@ class Collection:
         return cls(spark, CollectionConfig(**{**json.loads(stored.to_json()), "enable_wal": enable_wal}), path)
 
     def close(self) -> None:
-        """Remove scratch files; a log needs no closing."""
+        """Remove scratch files and the index; a log needs no closing."""
+        self._drop_index()
         if not self.config.enable_wal and files.exists(self.spark, self._own):
             files.delete(self.spark, self._own)

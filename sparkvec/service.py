@@ -39,8 +39,8 @@ class Service:
         self.routes = [
             ("GET", r"/health", self.health),
             ("POST", r"/collections", self.create),
-            ("GET", r"/collections", lambda body, query: {"collections": self.catalog.list()}),
-            ("GET", one, lambda body, query, name: {"name": name, **self.catalog.get(name).stats()}),
+            ("GET", r"/collections", lambda body, query: [self.info(n) for n in sorted(self.catalog.open)]),
+            ("GET", one, lambda body, query, name: self.info(name)),
             ("DELETE", one, self.drop),
             ("GET", one + "/stats", lambda body, query, name: self.catalog.get(name).stats()),
             ("POST", one + "/insert", self.insert),
@@ -50,7 +50,16 @@ class Service:
             ("POST", one + "/checkpoint", self.checkpoint),
         ]
 
-    def handle(self, method: str, target: str, body: dict | None = None) -> tuple[int, dict]:
+    def info(self, name: str) -> dict:
+        """What the service tells of a collection."""
+        c = self.catalog.get(name)
+        known = c.config
+        return {
+            "name": name, "dim": known.dim, "metric": known.metric, "index_type": known.index_type, "index_params": known.params,
+            "num_items": len(c), "enable_wal": known.enable_wal, "created_at": known.created_at,
+        }
+
+    def handle(self, method: str, target: str, body: dict | None = None) -> tuple[int, dict | list]:
         """(status, JSON) of a request: 400 bad input, 404 unknown route or name, 422 a body of the wrong shape."""
         url = urlsplit(target)
         query = {k: v[-1] for k, v in parse_qs(url.query).items()}
@@ -68,7 +77,7 @@ class Service:
 
     def health(self, body, query):
         self.spark.sql("select 1").first()
-        return {"status": "healthy", "timestamp": datetime.now(timezone.utc).isoformat()}
+        return {"status": "ok", "timestamp": datetime.now(timezone.utc).isoformat()}
 
     def create(self, body, query):
         if "name" not in query:
@@ -77,26 +86,26 @@ class Service:
         if extra := set(body) - known:
             raise ValueError(f"unknown settings: {', '.join(sorted(extra))}")
         _field(body, "dim", int)
-        made = self.catalog.create(query["name"], CollectionConfig(**{k: v for k, v in body.items() if v is not None}))
-        return {"name": query["name"], **made.stats()}
+        self.catalog.create(query["name"], CollectionConfig(**{k: v for k, v in body.items() if v is not None}))
+        return self.info(query["name"])
 
     def drop(self, body, query, name):
         self.catalog.delete(name)
-        return {"message": f"deleted {name}"}
+        return {"message": f"Collection '{name}' deleted"}
 
     def insert(self, body, query, name):
         self.catalog.get(name).insert(_field(body, "id", int), _field(body, "vector", list), _field(body, "metadata", dict, None))
-        return {"message": f"inserted {body['id']}"}
+        return {"message": "Vector inserted"}
 
     def insert_many(self, body, query, name):
         records = _field(body, "records", list)
         parts = [(_field(r, "id", int), _field(r, "vector", list), _field(r, "metadata", dict, None)) for r in records]
         self.catalog.get(name).insert_many(*([p[i] for p in parts] for i in range(3)))
-        return {"message": f"inserted {len(records)} vectors"}
+        return {"message": f"{len(records)} vectors inserted"}
 
     def delete(self, body, query, name):
         self.catalog.get(name).delete(_field(body, "id", int))
-        return {"message": f"deleted {body['id']}"}
+        return {"message": "Vector deleted"}
 
     def search(self, body, query, name):
         vector, top_k = _field(body, "query", list), _field(body, "top_k", int, 5)
@@ -111,7 +120,7 @@ class Service:
         if not collection.config.enable_wal:
             raise ValueError(f"{name} has no write-ahead log")
         collection.checkpoint()
-        return {"message": f"checkpointed {name}"}
+        return {"message": "Checkpoint completed"}
 
 
 def serve(service: Service, host: str, port: int) -> HTTPServer:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -10,6 +13,16 @@ def _open(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def scratch(spark: SparkSession, top: str | None = None) -> str:
+    """A new folder below ``top`` or ``spark.checkpoint.dir``; a local session that names none gets a temporary one."""
+    top = top or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir or give a folder")
+        top = tempfile.mkdtemp(prefix="sparkvec-")
+    return f"{top.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _open(spark, path)
     return fs.exists(p)
