@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkvec.functions.distance import check_metric, paired
+from sparkvec.functions.distance import check_metric, paired, pairwise
 from sparkvec.operators import flat
 
 #: One row a shard: its nodes in order of id.
@@ -69,6 +69,23 @@ class Graph:
             at = [self.beam(q, at, 1, layer)[0][1]]
         return at
 
+    def apart(self, found: list[tuple[float, int]], most: int) -> list[int]:
+        """Of (distance, node) in order, those nearer to the centre than to any chosen before; then the nearest others."""
+        if len(found) <= most:
+            return [n for _, n in found]
+        nodes = np.array([n for _, n in found])
+        between = pairwise(self.metric, self.x[nodes], self.x[nodes])
+        chosen: list[int] = []
+        least = np.full(len(nodes), np.inf)
+        for i, (d, _) in enumerate(found):
+            if len(chosen) == most:
+                break
+            if d < least[i]:
+                chosen.append(i)
+                np.minimum(least, between[i], out=least)
+        others = [i for i in range(len(nodes)) if i not in set(chosen)]
+        return [int(nodes[i]) for i in sorted(chosen + others[: most - len(chosen)])]
+
     def insert(self, node: int, level: int, m: int, ef: int) -> None:
         self.links[node] = [[] for _ in range(level + 1)]
         if self.entry < 0:
@@ -80,13 +97,13 @@ class Graph:
             found = self.beam(q, at, ef, layer)
             at = [n for _, n in found]
             most = 2 * m if layer == 0 else m
-            for _, other in found[:m]:
+            for other in self.apart(found, m):
                 self.links[node][layer].append(other)
                 near = self.links[other][layer]
                 near.append(node)
                 if len(near) > most:
-                    order = np.lexsort((near, self.to(self.x[other], near)))[:most]
-                    self.links[other][layer] = [near[i] for i in order]
+                    order = sorted(zip(self.to(self.x[other], near).tolist(), near, strict=True))
+                    self.links[other][layer] = self.apart(order, most)
         if level > top:
             self.entry = node
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkvec import rag
 from sparkvec.functions import text as texts
-from sparkvec.functions.distance import distance, norm, similarity
+from sparkvec.functions.distance import distance, distance_to, norm, similarity
 from sparkvec.operators import flat, hnsw, ivf
 from sparkvec.operators import ring as rings
-from sparkvec.plans.collection import duplicate_ids, invalid_dims
+from sparkvec.plans.collection import Collection, duplicate_ids, invalid_dims
+from sparkvec.plans.config import CollectionConfig
 from sparkvec.plans.filters import compile_filter
-from sparkvec.sources import oplog
+from sparkvec.sources import files, oplog, snapshot
+from sparkvec.sources.catalog import Catalog
 
 NODES = ("node1", "node2", "node3")
 QUERIES: dict = {}
@@ -91,21 +92,22 @@ def vector_norm(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", F.round(norm(F.col("embedding")), 6).alias("norm"))
 
 
-@query(f"""WITH {_VECTORS} SELECT b.vec_id AS qid, a.vec_id, round({_DISTANCE['l2']}, 6) + 0 AS l2, round({_DISTANCE['ip']}, 6) + 0 AS ip,
-    round({_DISTANCE['cosine']}, 6) + 0 AS cosine FROM v a, v b WHERE b.vec_id < 5""")
+@query(f"""WITH {_VECTORS} SELECT a.vec_id, round({_DISTANCE['l2']}, 6) + 0 AS l2, round({_DISTANCE['ip']}, 6) + 0 AS ip,
+    round({_DISTANCE['cosine']}, 6) + 0 AS cosine FROM v a, (SELECT e FROM v WHERE vec_id = 3) b""")
 def pairwise_matrix(spark, sf_dir):
+    """One query against every stored vector, under each metric."""
     rows = vectors(spark, sf_dir)
-    asked = rows.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    paired = rows.crossJoin(F.broadcast(asked))  # five rows
-    return paired.select("qid", "vec_id", *[(F.round(distance(m, F.col("embedding"), F.col("q")), 6) + F.lit(0.0)).alias(m) for m in ("l2", "ip", "cosine")])
+    q = vector_of(rows, 3)
+    return rows.select("vec_id", *[(F.round(distance_to(m, F.col("embedding"), q), 6) + F.lit(0.0)).alias(m) for m in ("l2", "ip", "cosine")])
 
 
-_BATCH = f"""WITH {_VECTORS}, s AS (SELECT b.vec_id AS qid, a.vec_id, {_DISTANCE['l2']} AS d FROM v a, v b WHERE b.vec_id < 20),
+_BATCH = f"""WITH {_VECTORS}, s AS (SELECT b.vec_id AS qid, a.vec_id, {_DISTANCE['l2']} AS d FROM v a, v b WHERE b.vec_id % 20 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rank FROM s)"""
 
 
-def _asked(rows, count=20):
-    return rows.where(F.col("vec_id") < count).select(F.col("vec_id").alias("qid"), "embedding")
+def _asked(rows):
+    """The queries of a batch: every row whose id is divisible by 20."""
+    return rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 @query(_BATCH + " SELECT qid, vec_id, round(d, 6) + 0 AS distance, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10")
@@ -148,17 +150,30 @@ def candidate_ids_topk(spark, sf_dir):
     return rounded(flat.search(rows, vector_of(rows, 3), 10, candidates=wanted))
 
 
-@query(_top("l2", where="a.vec_id % 3 <> 0"))
+@query("SELECT vec_id AS qid, 10 AS hits, 0 AS deleted FROM embeddings WHERE vec_id % 20 = 0")
 def tombstone_antijoin(spark, sf_dir):
+    """A graph with a third of its rows deleted: every query still gets ten, none of them deleted."""
     rows = vectors(spark, sf_dir)
-    gone = rows.where("vec_id % 3 = 0").select("vec_id")
-    return rounded(flat.search(rows.join(gone, "vec_id", "left_anti"), vector_of(rows, 3), 10))
+    index = hnsw.build(rows, M=16, ef_construction=64, ef_search=10).remove(rows.where("vec_id % 3 = 0").select("vec_id"))
+    found = index.batch_search(_asked(rows), 10)
+    return found.groupBy("qid").agg(F.count(F.lit(1)).cast("int").alias("hits"), F.count_if(F.col("vec_id") % 3 == 0).cast("int").alias("deleted"))
+
+
+def _collection(spark, data_dir=None, **config):
+    return Collection(spark, CollectionConfig(**{"dim": 64, "enable_wal": True, **config}), data_dir or files.scratch(spark))
+
+
+def _labelled(spark, sf_dir):
+    return vectors(spark, sf_dir).select("vec_id", "embedding", F.to_json(F.struct("label")).alias("metadata"))
 
 
 @query("SELECT label, count(*) AS num_items FROM embeddings WHERE vec_id % 4 <> 1 GROUP BY label")
 def delete_antijoin(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings")
-    return rows.join(rows.where("vec_id % 4 = 1").select("vec_id"), "vec_id", "left_anti").groupBy("label").agg(F.count(F.lit(1)).alias("num_items"))
+    """Rows in bulk into a collection, then out of it."""
+    held, rows = _collection(spark), _labelled(spark, sf_dir)
+    held.insert_rows(rows)
+    held.delete_rows(rows.where("vec_id % 4 = 1").select("vec_id"))
+    return held.table().groupBy(F.variant_get("metadata", "$.label", "int").alias("label")).agg(F.count(F.lit(1)).alias("num_items"))
 
 
 @query(_top("l2", more=", a.label"))
@@ -198,27 +213,50 @@ def duplicate_ids_query(spark, sf_dir):
     return duplicate_ids(new, rows)
 
 
-@query("SELECT 64 AS dim, 'l2' AS metric, 'flat' AS index_type, count(*) AS num_items FROM embeddings")
+@query("SELECT 64 AS dim, 'cosine' AS metric, 'flat' AS index_type, count(*) AS num_items, true AS wal_enabled FROM embeddings")
 def collection_stats(spark, sf_dir):
-    return read(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("num_items")).select(F.lit(64).alias("dim"), F.lit("l2").alias("metric"), F.lit("flat").alias("index_type"), "num_items")
+    held = _collection(spark, metric="cosine")
+    held.insert_rows(_labelled(spark, sf_dir))
+    told = held.stats()
+    return spark.createDataFrame([tuple(told[k] for k in ("dim", "metric", "index_type", "num_items", "wal_enabled"))], "dim int, metric string, index_type string, num_items long, wal_enabled boolean")
 
 
-@query("SELECT source AS name, count(*) AS num_items FROM documents GROUP BY source")
+@query("""SELECT 'part' || (vec_id % 3) AS name, 64 AS dim, CASE vec_id % 3 WHEN 0 THEN 'l2' WHEN 1 THEN 'cosine' ELSE 'ip' END AS metric, count(*) AS num_items
+    FROM embeddings GROUP BY vec_id % 3""")
 def list_collections(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("num_items"))
+    """Three collections of a catalog, listed by another one opened over its files."""
+    top, rows = files.scratch(spark), _labelled(spark, sf_dir)
+    first = Catalog(spark, top)
+    for i, metric in enumerate(("l2", "cosine", "ip")):
+        first.create(f"part{i}", CollectionConfig(64, metric, enable_wal=True)).insert_rows(rows.where(F.col("vec_id") % 3 == i))
+    listed = [(c["name"], c["dim"], c["metric"], c["num_items"]) for c in Catalog(spark, top).list()]
+    return spark.createDataFrame(listed, "name string, dim int, metric string, num_items long")
 
 
 # Inverted file
 
 
-_ASSIGNED = f"""{_VECTORS}, c AS (SELECT vec_id AS bucket_id, e FROM v WHERE vec_id < 8),
-    near AS (SELECT a.vec_id, CAST(b.bucket_id AS INT) AS bucket_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DISTANCE['l2']}, b.bucket_id) AS n FROM v a, c b),
-    assigned AS (SELECT vec_id, bucket_id FROM near WHERE n = 1)"""
+#: The model of the queries: eight buckets, three probed, two steps of k-means.
+_IVF = ivf.IVF(nlist=8, nprobe=3, seed=42, max_iter=2)
+
 
+def _step(n, means, before):
+    """SQL of one step: rows to their nearest centroid, centroids to the mean of their rows."""
+    return f"""n{n} AS MATERIALIZED (SELECT vec_id, bucket_id FROM (SELECT a.vec_id, b.bucket_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DISTANCE['l2']}, b.bucket_id) AS n FROM v a, {before} b) WHERE n = 1),
+    x{n} AS (SELECT bucket_id, unnest(e) AS x, unnest(range(0, 64)) AS pos FROM n{n} JOIN v USING (vec_id)),
+    m{n} AS (SELECT bucket_id, list(x ORDER BY pos) AS e FROM (SELECT bucket_id, pos, avg(x) AS x FROM x{n} GROUP BY bucket_id, pos) GROUP BY bucket_id),
+    {means} AS MATERIALIZED (SELECT c.bucket_id, coalesce(m{n}.e, c.e) AS e FROM {before} c LEFT JOIN m{n} USING (bucket_id))"""
 
-def _model(rows, nprobe=3):
-    first = rows.where("vec_id < 8").orderBy("vec_id").select("embedding").collect()  # eight seeds
-    return ivf.IVFModel(np.array([list(r[0]) for r in first], float), nprobe)
+
+_ASSIGNED = f"""{_VECTORS}, seeds AS (SELECT vec_id, e FROM v ORDER BY md5('42:' || vec_id), vec_id LIMIT 8),
+    c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INT) AS bucket_id, e FROM seeds),
+    {_step(0, 'c1', 'c0')}, {_step(1, 'c', 'c1')},
+    near AS (SELECT a.vec_id, b.bucket_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DISTANCE['l2']}, b.bucket_id) AS n FROM v a, c b),
+    assigned AS MATERIALIZED (SELECT vec_id, bucket_id FROM near WHERE n = 1)"""
+
+
+def _model(rows):
+    return _IVF.fit(rows)
 
 
 @query(f"WITH {_ASSIGNED} SELECT vec_id, bucket_id FROM assigned")
@@ -227,25 +265,30 @@ def ivf_assign(spark, sf_dir):
     return _model(rows).transform(rows).select("vec_id", "bucket_id")
 
 
-@query(f"""WITH {_ASSIGNED}, x AS (SELECT bucket_id, unnest(e) AS x, unnest(range(0, 64)) AS pos FROM assigned JOIN v USING (vec_id))
-    SELECT bucket_id, CAST(pos AS INT) AS pos, round(avg(x), 6) + 0 AS x FROM x GROUP BY bucket_id, pos""")
+@query(f"WITH {_ASSIGNED} SELECT bucket_id, CAST(unnest(range(0, 64)) AS INT) AS pos, round(unnest(e), 6) + 0 AS x FROM c")
 def ivf_lloyd_step(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    moved = ivf.lloyd_step(rows, _model(rows).centroids)
-    out = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(moved)], "bucket_id int, c array<double>")
+    """The trained centroids."""
+    model = _model(vectors(spark, sf_dir))
+    out = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.centroids)], "bucket_id int, c array<double>")
     return rounded(out.select("bucket_id", F.posexplode("c").alias("pos", "x")), "x")
 
 
-@query(f"""WITH {_VECTORS}, d AS (SELECT CAST(a.vec_id AS INT) AS bucket_id, {_DISTANCE['l2']} AS d FROM v a, (SELECT e FROM v WHERE vec_id = 30) b WHERE a.vec_id < 8)
+@query(f"""WITH {_ASSIGNED}, d AS (SELECT a.bucket_id, {_DISTANCE['l2']} AS d FROM c a, (SELECT e FROM v WHERE vec_id = 30) b)
     SELECT bucket_id FROM d ORDER BY d, bucket_id LIMIT 3""")
 def ivf_probe_buckets(spark, sf_dir):
     rows = vectors(spark, sf_dir)
     return spark.createDataFrame([(b,) for b in _model(rows).probes(vector_of(rows, 30))], "bucket_id int")
 
 
+def _bucketed(rows):
+    """A model and the rows as written by bucket, of which a search reads the probed folders."""
+    model = _model(rows)
+    return model, model.write(rows, files.scratch(rows.sparkSession))
+
+
 def _ivf_top(where):
     return f"""WITH {_ASSIGNED}, q AS (SELECT e FROM v WHERE vec_id = 30),
-    p AS (SELECT CAST(a.bucket_id AS INT) AS bucket_id FROM c a, q b ORDER BY {_DISTANCE['l2']}, a.bucket_id LIMIT 3),
+    p AS (SELECT a.bucket_id FROM c a, q b ORDER BY {_DISTANCE['l2']}, a.bucket_id LIMIT 3),
     s AS (SELECT a.vec_id, {_DISTANCE['l2']} AS d FROM v a JOIN assigned USING (vec_id) JOIN p USING (bucket_id), q b WHERE {where})
     SELECT vec_id, round(d, 6) + 0 AS distance FROM s ORDER BY d, vec_id LIMIT 10"""
 
@@ -253,25 +296,25 @@ def _ivf_top(where):
 @query(_ivf_top("true"))
 def ivf_l2_topk(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    model = _model(rows)
-    return rounded(model.search(model.transform(rows), vector_of(rows, 30), 10))
+    model, held = _bucketed(rows)
+    return rounded(model.search(held, vector_of(rows, 30), 10))
 
 
 @query(_ivf_top("label = 3"))
 def ivf_filtered_topk(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    model = _model(rows)
-    return rounded(model.search(model.transform(rows), vector_of(rows, 30), 10, where=F.col("label") == 3))
+    model, held = _bucketed(rows)
+    return rounded(model.search(held, vector_of(rows, 30), 10, where=F.col("label") == 3))
 
 
-@query(f"""WITH {_ASSIGNED}, pr AS (SELECT b.vec_id AS qid, CAST(a.bucket_id AS INT) AS bucket_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_DISTANCE['l2']}, a.bucket_id) AS n FROM c a, v b WHERE b.vec_id < 20),
+@query(f"""WITH {_ASSIGNED}, pr AS (SELECT b.vec_id AS qid, a.bucket_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_DISTANCE['l2']}, a.bucket_id) AS n FROM c a, v b WHERE b.vec_id % 20 = 0),
     s AS (SELECT qid, a.vec_id, {_DISTANCE['l2']} AS d FROM v a JOIN assigned USING (vec_id) JOIN pr USING (bucket_id) JOIN v b ON b.vec_id = qid WHERE n <= 3),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rank FROM s)
     SELECT qid, vec_id, round(d, 6) + 0 AS distance, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10""")
 def ivf_batch_knn(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    model = _model(rows)
-    return rounded(model.batch_search(model.transform(rows), _asked(rows), 10))
+    model, held = _bucketed(rows)
+    return rounded(model.batch_search(held, _asked(rows), 10))
 
 
 # Operation log: events as operations
@@ -313,28 +356,55 @@ def oplog_corrupt_tail(spark, sf_dir):
     return oplog.valid_prefix(lines).select("seq", F.try_variant_get("parsed", "$.k", "long").alias("k"))
 
 
-@query("SELECT count(*) AS kept, min(event_id) AS first FROM events WHERE event_id >= 300")
+def _log(spark, sf_dir, parts=4):
+    """A log of the events, committed in order of their ids: a segment a quarter."""
+    log, ops = oplog.OpLog(spark, files.scratch(spark)), _ops(spark, sf_dir)
+    first, last = ops.agg(F.min("seq"), F.max("seq")).first()
+    cuts = [first + (last + 1 - first) * i // parts for i in range(parts + 1)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        some = ops.where((F.col("seq") >= a) & (F.col("seq") < b))
+        log.append(some.drop("seq"), some.count())
+    return log
+
+
+@query("SELECT count(*) - 300 AS kept, 300 AS first, 0 AS repeated FROM events")
 def oplog_truncate(spark, sf_dir):
-    return _ops(spark, sf_dir).where("seq >= 300").agg(F.count(F.lit(1)).alias("kept"), F.min("seq").alias("first"))
+    """What a truncated log gives: gapless numbers from the offset on."""
+    log = _log(spark, sf_dir)
+    log.truncate(300)
+    left = log.read()
+    return left.agg(F.count(F.lit(1)).alias("kept"), F.min("seq").cast("int").alias("first"), (F.count("seq") - F.count_distinct("seq")).cast("int").alias("repeated"))
 
 
-@query(f"WITH {_OPS} SELECT op, count(*) AS n, count(DISTINCT vec_id) AS ids FROM ops GROUP BY op")
+@query("""SELECT CASE WHEN event_type = 'error' THEN 'delete' ELSE 'insert' END AS op, count(*) AS n, count(DISTINCT user_id) AS ids, (SELECT count(*) FROM events) AS lines
+    FROM events GROUP BY 1""")
 def oplog_stats(spark, sf_dir):
-    return _ops(spark, sf_dir).groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("ids"))
+    log = _log(spark, sf_dir)
+    return log.read().groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("ids")).withColumn("lines", F.lit(log.count()).cast("long"))
 
 
-@query(f"WITH {_OPS} {_LIVE.format('ops')}")
+@query(f"""WITH {_VECTORS} SELECT vec_id, CAST(label AS INT) AS label, round(list_sum(e) * CASE WHEN vec_id % 7 = 2 THEN 2 ELSE 1 END, 4) + 0 AS total FROM v WHERE vec_id % 5 <> 1 OR vec_id % 7 = 2""")
 def recover_snapshot_plus_log(spark, sf_dir):
-    ops = _ops(spark, sf_dir)
-    base = oplog.latest(ops.where("seq < 600")).select(F.lit(-1).cast("long").alias("seq"), F.lit("insert").alias("op"), "vec_id", "embedding", "metadata")
-    return _live(base.unionByName(ops.where("seq >= 600")))
+    """A collection that is written, checkpointed, changed, and opened again from its files."""
+    top, rows = files.scratch(spark), _labelled(spark, sf_dir)
+    first = _collection(spark, top)
+    first.insert_rows(rows)
+    first.checkpoint()
+    first.delete_rows(rows.where("vec_id % 5 = 1 or vec_id % 7 = 2").select("vec_id"))
+    first.insert_rows(rows.where("vec_id % 7 = 2").withColumn("embedding", F.transform("embedding", lambda x: x * 2)))
+    total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x)
+    return _collection(spark, top).table().select("vec_id", F.variant_get("metadata", "$.label", "int").alias("label"), (F.round(total, 4) + F.lit(0.0)).alias("total"))
 
 
-@query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) + 0 AS total FROM embeddings")
+@query(f"WITH {_VECTORS} SELECT vec_id, label, round(list_sum(e), 4) + 0 AS total, 17 AS at, 'cosine' AS metric FROM v")
 def snapshot_roundtrip(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.to_json(F.struct("label")).alias("metadata"))
+    """A snapshot written as a second version over an older one, and read again."""
+    path, rows = files.scratch(spark), _labelled(spark, sf_dir)
+    snapshot.save(rows.limit(1), path, CollectionConfig(64))
+    snapshot.save(rows, path, CollectionConfig(64, "cosine"), 17)
+    config, held, at = snapshot.load(spark, path)
     total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda acc, x: acc + x)
-    return rows.select("vec_id", F.variant_get(F.parse_json("metadata"), "$.label", "int").alias("label"), (F.round(total, 6) + F.lit(0.0)).alias("total"))
+    return held.select("vec_id", F.variant_get(F.parse_json("metadata"), "$.label", "int").alias("label"), (F.round(total, 4) + F.lit(0.0)).alias("total"), F.lit(at).alias("at"), F.lit(config.metric).alias("metric"))
 
 
 # Ring and shards
@@ -419,48 +489,59 @@ def chunk_preview(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", texts.preview(F.col("text")).alias("preview"))
 
 
-_RETRIEVED = _BATCH.replace("vec_id < 20", "vec_id < 3").replace(_DISTANCE["l2"], _DISTANCE["cosine"]) + ", f AS (SELECT qid, r.vec_id, d, rank, text FROM r JOIN documents ON doc_id = r.vec_id WHERE rank <= 3)"
+#: Questions are the first chunks of documents, so the nearest chunk is the question itself.
+_QUESTIONS = "q AS (SELECT doc_id AS qid, substring(text, 1, 300) AS question FROM documents WHERE doc_id % 20 = 0 AND lang = 'en' AND length(text) > 0)"
 
 
-def _retrieved(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    hits = flat.batch_search(rows, _asked(rows, 3), 3, "cosine")
-    return hits.join(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+def _store(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").withColumnRenamed("lang", "category")
+    questions = texts.chunks(docs.where("doc_id % 20 = 0 and category = 'en'"), 300, 50).where("chunk_idx = 0")
+    return rag.ingest(docs), questions.select(F.col("doc_id").alias("qid"), F.col("chunk").alias("question"))
 
 
-@query(_RETRIEVED + " SELECT qid, vec_id, CAST(rank AS INT) AS rank, round(1 - d, 6) AS similarity, length(text) AS size FROM f")
+@query(f"WITH {_QUESTIONS} SELECT qid, 1 AS rank, 1.0::DOUBLE AS similarity, question AS chunk, CASE WHEN length(question) > 100 THEN substring(question, 1, 100) || '...' ELSE question END AS preview, 'en' AS category FROM q")
 def rag_retrieve(spark, sf_dir):
-    return _retrieved(spark, sf_dir).select("qid", "vec_id", "rank", F.round(similarity(F.col("distance")), 6).alias("similarity"), F.length("text").cast("long").alias("size"))
+    """Documents chunked, embedded and searched by category; what is least similar is left out."""
+    store, questions = _store(spark, sf_dir)
+    found = rag.retrieve(store, questions, top_k=1, category="en", least=0.9)
+    return found.select("qid", "rank", F.round("similarity", 5).alias("similarity"), "chunk", "preview", "category")
 
 
-@query(_RETRIEVED + " SELECT qid, string_agg('[' || rank || '] ' || substring(text, 1, 200), chr(10) ORDER BY rank) AS context FROM f GROUP BY qid")
+@query(f"WITH {_QUESTIONS} SELECT qid, '[1] ' || question AS context FROM q")
 def rag_context(spark, sf_dir):
-    return _retrieved(spark, sf_dir).groupBy("qid").agg(texts.context(F.col("rank"), F.substring("text", 1, 200)).alias("context"))
+    store, questions = _store(spark, sf_dir)
+    return rag.answer(store, questions, top_k=1, category="en").select("qid", "context")
 
 
-@query(_RETRIEVED + """, c AS (SELECT qid, string_agg('[' || rank || '] ' || substring(text, 1, 200), chr(10) ORDER BY rank) AS context FROM f GROUP BY qid)
-    SELECT qid, 'Answer from the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: What is document ' || qid || '?' || chr(10) || 'Answer:' AS prompt FROM c""")
+@query(f"""WITH {_QUESTIONS} SELECT qid, 'Answer from the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || '[1] ' || question || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Answer:' AS prompt FROM q""")
 def rag_prompt(spark, sf_dir):
-    question = F.concat(F.lit("What is document "), F.col("qid").cast("string"), F.lit("?"))
-    return rag_context(spark, sf_dir).select("qid", texts.prompt(question, F.col("context")).alias("prompt"))
+    store, questions = _store(spark, sf_dir)
+    return rag.answer(store, questions, top_k=1, category="en").select("qid", "prompt")
 
 
-@query(_ASSIGNED.join(("WITH ", "")) + f""", pr AS (SELECT b.vec_id AS qid, CAST(a.bucket_id AS INT) AS bucket_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_DISTANCE['l2']}, a.bucket_id) AS n FROM c a, v b WHERE b.vec_id < 20),
-    s AS (SELECT b.vec_id AS qid, a.vec_id, {_DISTANCE['l2']} AS d FROM v a, v b WHERE b.vec_id < 20),
+@query(f"""WITH {_ASSIGNED}, pr AS (SELECT b.vec_id AS qid, a.bucket_id, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_DISTANCE['l2']}, a.bucket_id) AS n FROM c a, v b WHERE b.vec_id % 20 = 0),
+    s AS (SELECT b.vec_id AS qid, a.vec_id, {_DISTANCE['l2']} AS d FROM v a, v b WHERE b.vec_id % 20 = 0),
     t AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rank FROM s),
     i AS (SELECT s.*, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS rank FROM s JOIN assigned USING (vec_id) JOIN pr USING (qid, bucket_id) WHERE n <= 3)
-    SELECT round(count(i.vec_id) / 200.0, 6) AS recall FROM t LEFT JOIN i ON i.qid = t.qid AND i.vec_id = t.vec_id AND i.rank <= 10 WHERE t.rank <= 10""")
+    SELECT round(count(i.vec_id) / (10.0 * count(DISTINCT t.qid)), 6) AS recall FROM t LEFT JOIN i ON i.qid = t.qid AND i.vec_id = t.vec_id AND i.rank <= 10 WHERE t.rank <= 10""")
 def recall_at_k(spark, sf_dir):
     return rounded(flat.recall_at_k(batch_knn(spark, sf_dir), ivf_batch_knn(spark, sf_dir), 10), "recall")
 
 
-@query()
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 20 = 0")
 def hnsw_l2_topk(spark, sf_dir):
+    """Recall of a kept graph against exact search of all rows: at least 0.9."""
     rows = vectors(spark, sf_dir)
-    return rounded(hnsw.build(rows, M=16, ef_construction=64).batch_search(_asked(rows), 10))
+    index = hnsw.build(rows, M=16, ef_construction=64).kept(files.scratch(spark))
+    found = index.batch_search(_asked(rows), 10)
+    recall = flat.recall_at_k(batch_knn(spark, sf_dir), found, 10)
+    return recall.select(F.lit(_asked(rows).count()).cast("long").alias("queries"), (F.col("recall") >= 0.9).alias("reached"))
 
 
-@query()
+@query("SELECT doc_id, 64 AS dim, 1.0::DOUBLE AS norm, count(*) OVER (PARTITION BY coalesce(text, '')) AS alike FROM documents")
 def hash_embed(spark, sf_dir):
+    """Unit vectors, the same for the same text and for no other."""
     embed = texts.embedders.get("hash", 64)
-    return read(spark, sf_dir, "documents").select("doc_id", embed(F.col("text")).alias("embedding"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", embed(F.col("text")).alias("embedding"))
+    rows = rows.select("doc_id", F.size("embedding").alias("dim"), F.round(norm(F.col("embedding")), 5).alias("norm"), F.xxhash64("embedding").alias("key"))
+    return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("alike")), "key").drop("key")
