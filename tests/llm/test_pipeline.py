@@ -31,19 +31,28 @@ def test_query_equals_its_sql(spark, name):
     assert got == sorted(result.fetchall())
 
 
+def kept_of_classes(rows):
+    """Rows (id, text) that are the least of their class: links at five-word shingles, similarity 0.8 or more."""
+    from tests.llm.test_neardup import jaccard
+
+    root = {d: d for d, _ in rows}
+    find = lambda d: d if root[d] == d else find(root[d])
+    for i, (d, a) in enumerate(rows):
+        for e, b in rows[:i]:
+            if a == b or (0.5 < (len(a) + 1) / (len(b) + 1) < 2 and jaccard(a, b) >= 0.8):
+                root[max(find(d), find(e))] = min(find(d), find(e))
+    return [(d, t) for d, t in rows if find(d) == d]
+
+
 def test_stages_against_brute_force(spark):
     from tests.llm.test_decontaminate import brute as contaminated
-    from tests.llm.test_neardup import classes, fingerprint
     from tests.llm.test_secrets import base
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     good = {r.doc_id for r in quality.quality(docs, labels).where("predicted = 1").collect()}
-    rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in good)
-    group = classes([fingerprint(t) for _, t in rows])
-    least = {g: min(d for (d, _), x in zip(rows, group) if x == g) for g in group}
-    rows = [r for r, g in zip(rows, group) if least[g] == r[0]]
+    rows = kept_of_classes(sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in good))
     rows = [r for r, (_, hit, _) in zip(rows, contaminated([t for _, t in rows], items)) if not hit]
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(got) == {d for d, _ in rows}
@@ -58,16 +67,27 @@ def test_stages_against_brute_force(spark):
 
 
 def test_edited_copies_do_not_reach_the_tokens(spark):
-    """The near-dedup stage against all pairs: five-word shingles, similarity 0.8."""
-    from tests.llm.test_neardup import jaccard
-
+    """The near-dedup stage against all pairs."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 4000")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    root = {d: d for d, _ in rows}
-    find = lambda d: d if root[d] == d else find(root[d])
-    for i, (d, a) in enumerate(rows):
-        for e, b in rows[:i]:
-            if 0.75 < (len(a) + 1) / (len(b) + 1) < 1.34 and jaccard(a, b) >= 0.8:
-                root[max(find(d), find(e))] = min(find(d), find(e))
     stage = corpus_pipeline.drop_near_duplicates
-    assert {r.doc_id for r in stage(spark, docs, SF).collect()} == {d for d, _ in rows if find(d) == d}
+    assert {r.doc_id for r in stage(spark, docs, SF).collect()} == {d for d, _ in kept_of_classes(rows)}
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES[:-1], ids=lambda s: s[0])
+def test_stages_keep_columns_and_take_any_rows(spark, docs, clashing, stage):
+    """Nulls, empty and long texts, repeated rows, clashing names, empty tables, and documents without n_chars."""
+    name, f = stage
+    out = f(spark, clashing, SF)
+    assert out.columns == clashing.columns and out.count() <= docs.count()
+    assert f(spark, docs.limit(0), SF).count() == 0
+    bare = docs.select("doc_id", "text")
+    assert f(spark, bare, SF).columns == ["doc_id", "text"]
+    if name in ("benchmark decontamination", "secret scans"):
+        assert out.count() == docs.count()  # nothing here is of the benchmark
+
+
+def test_last_stage_takes_any_rows(spark, docs, clashing):
+    got = corpus_pipeline.tokenize(spark, clashing, SF).collect()
+    assert len(got) == docs.count() and {r.n_tokens == 0 for r in got} == {True, False}
+    assert corpus_pipeline.tokenize(spark, docs.limit(0), SF).count() == 0
