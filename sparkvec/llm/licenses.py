@@ -3,9 +3,11 @@
 A paragraph is a line, and a notice that is wrapped over consecutive non-blank
 lines is found by the words of its lines together, under its first line.  Its words and word pairs are the features of a sparse
 softmax regression over licence families and "none", which the driver trains on
-variants of the templates below and on a bounded sample of corpus paragraphs.
-Features that ordinary paragraphs have as well are dropped, so a paragraph without
-one of the few anchor words scores as none, and is not scored at all.
+variants of the templates below and on at most ``max_rows`` distinct corpus lines.
+Words that ordinary paragraphs have as well are no features; how often they have
+them is counted over all lines of the corpus, less those that read like a template.
+A paragraph without one of the few anchor words left scores as none, and is not
+scored at all; the sampled lines have one.
 
 The unknown class is calibrated by leaving families out: a family must be more
 probable than what texts of families unseen in training usually reach.  A family
@@ -14,8 +16,10 @@ words that the paragraph holds; a paragraph that reads like a licence but is not
 confirmed is unknown.
 
 Scoring is one projection without a shuffle: a paragraph's score needs only the
-document's own row.  Null and empty texts have no paragraphs.  Repeated rows
-stay; other columns are not read.  On an empty corpus the templates still train.
+document's own row, whole texts however long.  Null and empty texts have no
+paragraphs.  Repeated rows stay; other columns are not read.  Of families that are
+equally probable the first by name counts.  On an empty corpus the templates still
+train, and no rows come out.
 """
 
 from __future__ import annotations
@@ -29,14 +33,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Paragraphs sampled as examples of no licence, at most.
+#: Distinct lines sampled as examples of no licence, at most.
 MAX_ROWS = 2_000
-#: Share of the sample above which a feature is too common, and of a template's words that confirm it.
+#: Share of all lines above which a word is too common, and of a template's words that confirm it.
 COMMON, CONFIRM = 0.005, 0.7
 NONE = "none"
 
 #: Short licence notices by family.
 TEMPLATES = {
+    "agpl": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    ),
     "apache": (
         "Licensed under the Apache License, Version 2.0.",
         "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -53,16 +61,34 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
+    "cc-by-sa": (
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ),
+    "cc0": (
+        "This work is dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication.",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    ),
+    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     ),
+    "isc": (
+        "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    "lgpl": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    ),
     "mit": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     ),
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
     "reserved": ("All rights reserved.", "Copyright. All rights reserved. No part of this publication may be reproduced without permission."),
+    "unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 
 
@@ -111,22 +137,37 @@ def _softmax(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 300, ridg
     return w
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line"))
+    return lines.where(F.trim("line") != "").select("line", _tokens(F.col("line")).alias("words"))
+
+
+def line_counts(docs: DataFrame, templates: list[tuple[str, list[str]]]) -> tuple[int, dict[str, int]]:
+    """How many lines of docs read like no template, and how many of those have each word of the templates."""
+    own = sorted({w for _, t in templates for w in t if w})
+    # Lines with the same template words are one group; what a group is like is decided once.
+    groups = _lines(docs).groupBy(F.array_sort(F.array_distinct(F.filter("words", lambda w: w.isin(own)))).alias("own")).agg(F.count(F.lit(1)).alias("n"))
+    alike = [F.size(F.array_intersect("own", F.array(*[F.lit(w) for w in sorted(set(t))]))) >= 0.5 * len(set(t)) for _, t in templates]
+    plain = groups.where(~functools.reduce(operator.or_, alike))
+    counted = plain.select(F.explode(F.concat("own", F.array(F.lit("")))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    found = {r.word: r.n for r in counted.collect()}  # a row a word of the templates, and one for all lines
+    return found.pop("", 0), found
+
+
 def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> LicenseModel:
-    """Train on the templates and on at most ``max_rows`` paragraphs of docs (..., text)."""
+    """Train on the templates, on counts of all lines of docs (..., text), and on at most ``max_rows`` of those."""
     spark = docs.sparkSession
     given = spark.createDataFrame([(f, t.strip(".")) for f, texts in TEMPLATES.items() for t in texts], "family string, text string")
     templates = [(r.family, list(r.words)) for r in given.select("family", _tokens(F.col("text")).alias("words")).collect()]
-    texts = docs.select(F.col("text").cast("string").alias("text")).orderBy(F.xxhash64("text")).limit(max(1, max_rows // 10))
-    picked = texts.select(F.explode(F.split("text", "\n")).alias("line")).orderBy(F.xxhash64("line")).limit(max_rows)
-    sample = [[w for w in r.words if w] for r in picked.select(_tokens(F.col("line")).alias("words")).collect()]
+    total, often = line_counts(docs, templates)
+    rare = lambda w: often.get(w, 0) <= COMMON * total
+    anchors = sorted({w for _, t in templates for w in t if w and rare(w) and not w.isdigit()})
+    # A pair is as rare as its rarer word.
+    vocabulary = sorted({g for _, t in templates for g in _grams_of(t) if any(p in anchors for p in g.split())})
+    picked = _lines(docs).where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in anchors]))).groupBy("line").agg(F.first("words").alias("words"))
+    picked = picked.orderBy(F.xxhash64("line"), "line").limit(max_rows)
+    sample = [[w for w in r.words if w] for r in picked.select("words").collect()]
     sample = [w for w in sample if w and all(len(set(t) & set(w)) < 0.5 * len(set(t)) for _, t in templates)]
-    often: dict[str, int] = {}
-    for w in sample:
-        for g in _grams_of(w):
-            often[g] = often.get(g, 0) + 1
-    rare = lambda g: often.get(g, 0) <= COMMON * len(sample)
-    anchors = sorted({w for _, t in templates for w in t if rare(w) and not w.isdigit()})
-    vocabulary = sorted({g for _, t in templates for g in _grams_of(t) if rare(g) and any(p in anchors for p in g.split())})
     families = [*TEMPLATES, NONE]
     index = {g: i + 1 for i, g in enumerate(vocabulary)}
 
@@ -136,11 +177,13 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> LicenseModel:
         x[[index[g] for g in _grams_of(words) if g in index]] = 1
         return x
 
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
     rows: list[tuple[int, list[str]]] = []
     for family, t in templates:
         cut = max(2, len(t) // 8)
         variants = [t, t[cut:], t[:-cut], t[cut // 2 :], *([*t[:i], *t[i + 1 :]] for i in range(len(t)))]
-        rows += [(families.index(family), v) for v in variants]
+        # Less the word that tells two families apart, a notice reads like one of the other.
+        rows += [(families.index(family), v) for v in variants if all(f == family or like(v, other) < like(v, t) for f, other in templates)]
     rng = np.random.default_rng(3)
     none = len(families) - 1
     # Of no licence: corpus paragraphs, and single anchor words among nothing else.
@@ -175,11 +218,12 @@ def paragraphs(docs: DataFrame, model: LicenseModel, keep: tuple[str, ...] = ("d
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("line"), _tokens(x).alias("words"), (F.trim(x) == "").alias("blank")))
     live = F.filter(numbered, lambda x: F.arrays_overlap(x["words"], anchors))
     live = F.when(F.arrays_overlap(_tokens(F.col("text").cast("string")), anchors), live)
-    vocabulary = F.array(*[F.struct(F.lit(g).alias("gram"), _array([float(v) for v in w], "double").alias("w")) for g, w in model.weights.items()])
+    weights = F.create_map(*[x for g, w in model.weights.items() for x in (F.lit(g), _array([float(v) for v in w], "double"))])
 
     def scores(grams: Column) -> Column:
-        own = F.filter(vocabulary, lambda v: F.array_contains(grams, v["gram"]))
-        return F.aggregate(own, _array([float(v) for v in model.bias], "double"), lambda acc, v: F.zip_with(acc, v["w"], lambda a, b: a + b))
+        # Membership is looked up in a hash set; only the few grams of the vocabulary meet the map.
+        own = F.transform(F.array_sort(F.filter(grams, lambda g: g.isin(list(model.weights)))), lambda g: F.element_at(weights, g))
+        return F.aggregate(own, _array([float(v) for v in model.bias], "double"), lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
 
     def judged(x: Column) -> Column:
         s = x["s"]

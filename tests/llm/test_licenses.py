@@ -56,3 +56,42 @@ def test_wrapped_notices(spark, model):
     for i, (family, line) in enumerate(expected):
         assert [x for x in got[i] if x[1] != "unknown"] == [(line, family)], (texts[i], got[i])
     assert "mit" not in [f for _, f in got[len(expected)]]
+
+
+#: Notices as they stand in files, none of them a template.
+HELD_OUT = [
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice"),
+    ("cc-by", "This article is licensed under a Creative Commons Attribution 4.0 International License, which permits use and sharing."),
+    ("cc-by-nc", "Except where noted, this work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-sa", "The text is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License (CC BY-SA)."),
+    ("cc0", "To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to this work."),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at the address below"),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one"),
+    ("reserved", "Copyright 2019 Example Press. All rights reserved. No part of this publication may be reproduced in any form without permission."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy it."),
+]
+PLAIN = ["The public house by the river was free to all.", "He gave her permission to copy the general map.", "Software is hard and the work is long; use it with care.", "The foundation of the old bridge was published in a book.", "All roads are reserved for the terms of winter."]
+
+
+def test_held_out_notices(spark, model):
+    """Recall over notices that were not trained on, on one line and wrapped, and no licence where there is none."""
+    texts = [t for _, t in HELD_OUT] + ["\n".join(textwrap.wrap(t, 72)) for _, t in HELD_OUT] + PLAIN
+    got = families(spark, model, texts)
+    expected = [f for f, _ in HELD_OUT] * 2
+    hit = [any(f == x for _, x in got[i]) for i, f in enumerate(expected)]
+    assert sum(hit) >= 0.9 * len(hit), [(f, got[i]) for i, f in enumerate(expected) if not hit[i]]
+    wrong = [(f, got[i]) for i, f in enumerate(expected) if {x for _, x in got[i]} - {f, "unknown"}]
+    assert not wrong
+    assert not [x for i in range(len(expected), len(texts)) for _, x in got[i] if x != "unknown"]
+
+
+def test_words_are_counted_over_all_lines(spark, model):
+    texts = ["the license\nthe old road\n\n  \nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"] * 30 + [None, "", "The THE the"]
+    total, often = licenses.line_counts(spark.createDataFrame([(t,) for t in texts], "text string"), model.templates)
+    assert total == 61 and often["the"] == 61 and often["license"] == 30 and "granted" not in often
