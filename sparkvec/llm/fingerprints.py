@@ -8,15 +8,18 @@ texts have equal fingerprints wherever they stand.  No words: fingerprint zero.
 The search cuts fingerprints into blocks.  If at most r of b blocks can hold a
 differing bit, some b - r blocks are equal; there is one table for each choice of
 b - r blocks, keyed by their bits (the permuted leading bits of Manku et al.).
-Only buckets with a query and another fingerprint are looked into, and buckets
-with many fingerprints are split, with the queries sent to every part.
+Only buckets with a query and another fingerprint are looked into.  Buckets with many
+fingerprints are tiled: their rows and their queries are split, and a task compares
+one part of each.  A result is every near fingerprint, or the documents that have one.
 
 The edited text pairs each document with the next one.  A range shuffle puts
 neighbours into one partition; the pairs across partition ends are a second,
 small step over one document a partition.
 
 Nulls: a null text is empty; rows with a null id come last in the order.  Rows of
-one id are ordered by the hash of their text.  Other columns are not read.
+one id are ordered by the hash of their text; rows equal in both are alike.  Texts are
+read whole however long.  A table without rows gives none, and a single document is
+its own next one.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,8 +41,8 @@ BITS = 128
 RADIUS, BLOCKS = 3, 5
 #: Terms whose votes are counted at once, and bytes of text of one step.
 VOTERS, STEP = 1 << 14, 1 << 19
-#: Fingerprints of a bucket that one task compares with the bucket's queries.
-BUCKET_ROWS = 1 << 16
+#: Fingerprints of a bucket, and queries of it, that one task compares about.
+BUCKET_ROWS, BUCKET_QUERIES = 1 << 16, 1 << 12
 
 
 def simhash(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -174,22 +177,41 @@ def _block_keys(blocks: int, radius: int) -> list:
     return [F.xxhash64(F.lit(i), *[p for block in c for p in bits(edges[block], edges[block + 1])]) for i, c in enumerate(chosen)]
 
 
-def near_counts(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """For each query fingerprint (hi, lo): ``n_near``, the documents within ``radius`` bits, all of them.
+def near_counts(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS, bucket_queries: int = BUCKET_QUERIES) -> DataFrame:
+    """For each query fingerprint (hi, lo): ``n_near``, the documents within ``radius`` bits, all of them, its own too.
 
-    fps: distinct (hi, lo) with the number n of documents that have it and whether
-    it is a query.  A pair that several tables hold counts in the first of them.
+    fps: distinct (hi, lo) with the number n of documents that have it and whether it is a query.
     """
+    found = _search(fps, radius, blocks, bucket_rows, bucket_queries, False).groupBy("hi", "lo").agg(F.sum("found").alias("found"))
+    alone = fps.where("query").select("hi", "lo", "n").join(found, ["hi", "lo"], "left")
+    return alone.select("hi", "lo", (F.coalesce("found", F.lit(0)) + F.col("n")).alias("n_near"))
+
+
+def near_pairs(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket_rows: int = BUCKET_ROWS, bucket_queries: int = BUCKET_QUERIES) -> DataFrame:
+    """(hi, lo, near_hi, near_lo, distance): each query fingerprint with every other one within ``radius`` bits.
+
+    fps as for :func:`near_counts`; documents follow by a join with those that have a fingerprint.
+    """
+    return _search(fps, radius, blocks, bucket_rows, bucket_queries, True)
+
+
+def _search(fps: DataFrame, radius: int, blocks: int, bucket_rows: int, bucket_queries: int, pairs: bool) -> DataFrame:
+    """Near fingerprints, or their numbers of documents.  A pair that several tables hold counts in the first of them."""
     tables = _block_keys(blocks, radius)
     keyed = fps.select("hi", "lo", "n", "query", F.posexplode(F.array(*tables)).alias("nth", "key"))
-    sizes = keyed.groupBy("nth", "key").agg(F.count(F.lit(1)).alias("size"), F.max("query").alias("asked"))
-    live = sizes.where("asked and size > 1").select("nth", "key", F.expr(f"cast(size div {bucket_rows} as int) + 1").alias("parts"))
+    sizes = keyed.groupBy("nth", "key").agg(F.count(F.lit(1)).alias("size"), F.count_if("query").alias("asked"))
+    live = sizes.where("asked > 0 and size > 1").select(
+        "nth", "key", F.expr(f"cast(size div {bucket_rows} as int) + 1").alias("parts"), F.expr(f"cast(asked div {bucket_queries} as int) + 1").alias("askers")
+    )
     rows = keyed.join(live, ["nth", "key"])
     mine = F.pmod(F.xxhash64("hi", "lo", F.lit(7)), F.col("parts")).cast("int")
-    # A fingerprint stands in one part of its bucket; a query is sent to all parts of it.
-    sides = F.when(F.col("query"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.lit(True).alias("asks")))).otherwise(F.array().cast("array<struct<part:int,asks:boolean>>"))
-    rows = rows.select("nth", "key", "hi", "lo", "n", F.explode(F.concat(sides, F.array(F.struct(mine.alias("part"), F.lit(False).alias("asks"))))).alias("side"))
-    rows = rows.select("nth", "key", "side.part", "side.asks", "hi", "lo", "n")
+    own = F.pmod(F.xxhash64("hi", "lo", F.lit(8)), F.col("askers")).cast("int")
+    # A tile is a part of the rows and one of the queries: each row goes to the tiles of its part.
+    kind = "array<struct<part:int,asker:int,asks:boolean>>"
+    asking = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), own.alias("asker"), F.lit(True).alias("asks")))
+    asked = F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda p: F.struct(mine.alias("part"), p.alias("asker"), F.lit(False).alias("asks")))
+    rows = rows.select("nth", "key", "hi", "lo", "n", F.explode(F.concat(F.when(F.col("query"), asking).otherwise(F.array().cast(kind)), asked)).alias("side"))
+    rows = rows.select("nth", "key", "side.*", "hi", "lo", "n")
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     masks = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -202,7 +224,7 @@ def near_counts(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, buck
         hi, lo = (group.column(c).combine_chunks().to_numpy().view(U) for c in ("hi", "lo"))
         n, asks = group.column("n").combine_chunks().to_numpy(), group.column("asks").combine_chunks().to_numpy(zero_copy_only=False)
         q, f = np.flatnonzero(asks), np.flatnonzero(~asks)
-        found = np.zeros(len(q), np.int64)
+        found, met = np.zeros(len(q), np.int64), [(np.zeros(0, np.int64),) * 2]
         for at in range(0, len(q), max(1, (1 << 20) // max(1, len(f)))):
             to = min(len(q), at + max(1, (1 << 20) // max(1, len(f))))
             x, y = hi[q[at:to], None] ^ hi[f], lo[q[at:to], None] ^ lo[f]
@@ -211,12 +233,19 @@ def near_counts(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, buck
             for c in chosen[:nth]:
                 near &= ~same[list(c)].all(axis=0)
             near &= same[list(chosen[nth])].all(axis=0)
-            found[at:to] = (near * n[f]).sum(axis=1)
-        return pa.table({"hi": hi[q].view(np.int64), "lo": lo[q].view(np.int64), "found": found})
-
-    found = rows.groupBy("nth", "key", "part").applyInArrow(run, "hi long, lo long, found long").groupBy("hi", "lo").agg(F.sum("found").alias("found"))
-    alone = fps.where("query").select("hi", "lo", "n").join(found, ["hi", "lo"], "left")
-    return alone.select("hi", "lo", (F.coalesce("found", F.lit(0)) + F.col("n")).alias("n_near"))
+            if pairs:
+                a, b = np.nonzero(near)
+                met.append((q[at + a], f[b]))
+            else:
+                found[at:to] = (near * n[f]).sum(axis=1)
+        if not pairs:
+            return pa.table({"hi": hi[q].view(np.int64), "lo": lo[q].view(np.int64), "found": found})
+        a, b = (np.concatenate(x) for x in zip(*met, strict=True))
+        far = np.bitwise_count(hi[a] ^ hi[b]).astype(np.int32) + np.bitwise_count(lo[a] ^ lo[b])
+        return pa.table({"hi": hi[a].view(np.int64), "lo": lo[a].view(np.int64), "near_hi": hi[b].view(np.int64), "near_lo": lo[b].view(np.int64), "distance": far.astype(np.int32)})
+
+    made = "hi long, lo long, near_hi long, near_lo long, distance int" if pairs else "hi long, lo long, found long"
+    return rows.groupBy("nth", "key", "part", "asker").applyInArrow(run, made)
 
 
 def likeness(a: tuple, b: tuple):
