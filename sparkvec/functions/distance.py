@@ -63,7 +63,7 @@ def distance_to(metric: str, column: Column, vector: Sequence[float]) -> Column:
     q = [float(np.float32(x)) for x in vector]
     if len(q) > UNROLL or not q:
         return distance(metric, column, F.array(*[F.lit(x) for x in q]) if q else F.array().cast("array<double>"))
-    x = [F.get(column, F.lit(i)).cast("double") for i in range(len(q))]
+    x = [column[i].cast("double") for i in range(len(q))]  # looked at in rows of this length only
     add = lambda terms: reduce(lambda s, t: s + t, terms)
     alike = F.size(column) == len(q)
     if metric == "l2":

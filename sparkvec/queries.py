@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkvec import rag
 from sparkvec.functions import text as texts
-from sparkvec.functions.distance import distance, distance_to, norm, similarity
+from sparkvec.functions.distance import distance, norm, similarity
 from sparkvec.operators import flat, hnsw, ivf
 from sparkvec.operators import ring as rings
 from sparkvec.plans.collection import Collection, duplicate_ids, invalid_dims
@@ -97,8 +97,8 @@ def vector_norm(spark, sf_dir):
 def pairwise_matrix(spark, sf_dir):
     """One query against every stored vector, under each metric."""
     rows = vectors(spark, sf_dir)
-    q = vector_of(rows, 3)
-    return rows.select("vec_id", *[(F.round(distance_to(m, F.col("embedding"), q), 6) + F.lit(0.0)).alias(m) for m in ("l2", "ip", "cosine")])
+    q = F.array(*[F.lit(float(x)) for x in vector_of(rows, 3)])
+    return rows.select("vec_id", *[(F.round(distance(m, F.col("embedding"), q), 6) + F.lit(0.0)).alias(m) for m in ("l2", "ip", "cosine")])
 
 
 _BATCH = f"""WITH {_VECTORS}, s AS (SELECT b.vec_id AS qid, a.vec_id, {_DISTANCE['l2']} AS d FROM v a, v b WHERE b.vec_id % 20 = 0),
