@@ -11,14 +11,20 @@ smallest document.  Joins and aggregates find them:
    runs, so equal windows have equal minimizers.  Tasks send sorted, truncated
    minimizer hashes; those of two documents or more set a bit of a filter.  The
    filter only saves work: it is lossless, and its size has a fixed bound.
-2. Edges.  Windows whose minimizer passes are aggregated to their source coordinate,
-   multiplicity and largest document; the repeated ones are joined back to the
-   documents' walks.  A window is told by 96 bits, a 64-bit hash and 32 bits of a
+2. Edges.  Windows whose minimizer passes are aggregated to their source coordinate
+   and largest document, and to whether all their places agree on the word before and
+   on the word after.  A window is told by 96 bits, a 64-bit hash and 32 bits of a
    second one over word hashes of another seed; both are keys of the aggregate and
    of the join, so windows that agree in one of them only have sources of their own.
-3. Compaction.  Along each document's walk, edges that follow each other with the
-   same source document, consecutive source coordinates and equal multiplicity
-   (a nonbranching step) become one path, a long repeated span.
+3. Compaction.  A step between two edges is nonbranching if all places of the first
+   go on alike and all places of the second come from alike; their source coordinates
+   are then consecutive.  Joins compact such steps to paths: round r joins the paths
+   that end at an odd multiple of 2**r words of a source with those that begin there,
+   so a path of any length takes as many rounds as its coordinates have bits, and
+   each round has half as many paths left.
+4. Spans.  Whoever walks a path's first edge walks the whole path, so the documents'
+   walks are joined to first edges only.  A path carries a digest of its words, read
+   at its source coordinates; a document's span counts if its own words have it.
 
 A document loses the words of its spans.  Windows are judged on the input.
 
@@ -32,6 +38,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,9 +58,10 @@ FILTER_BITS, SEND = 29, 1 << 19
 SENT = 40
 #: Bits of the filter of repeated texts at most (8 MB).
 COPY_BITS = 26
+#: Bytes of a path's digest.
+DIGEST = 16
 #: End of a span that covers its document to the end.
 ALL = (1 << 31) - 1
-SPANS = "array<struct<start:int,end:int,source_doc:bigint,source_start:int>>"
 
 
 def _sizes(docs: DataFrame, most: int) -> tuple[int, int]:
@@ -173,7 +182,10 @@ def _without_copies(slim: DataFrame, bits: int):
 
 
 def _walks(slim: DataFrame, marks, passing, window: int, run: int, bits: int) -> DataFrame:
-    """(edge, check, keys, at) of each window that passes the filter: its two hashes and its first word."""
+    """(edge, check, keys, at, before, after) of each window that passes the filter.
+
+    These are its two hashes, its first word, and hashes of the words around it, null where the text ends.
+    """
 
     keys, copy_bits = [c for c in slim.columns if c not in ("__text", "__hash")], min(bits, COPY_BITS)
 
@@ -188,15 +200,17 @@ def _walks(slim: DataFrame, marks, passing, window: int, run: int, bits: int) ->
                     continue
                 edge, check = window_hashes(h, window), window_hashes(w.hashes(seed=1), window) >> U(32)
                 text = np.searchsorted(w.first, start, side="right") - 1
+                before = pa.array(h[np.maximum(start - 1, 0)].view(np.int64), mask=start == w.first[text])
+                after = pa.array(h[np.minimum(start + window, len(h) - 1)].view(np.int64), mask=start + window == w.first[text + 1])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(edge[start].view(np.int64)), pa.array(check[start].astype(np.uint32).view(np.int32)),
-                        *(part.column(c).take(pa.array(text)) for c in keys), pa.array((start - w.first[text]).astype(np.int32)),
+                        *(part.column(c).take(pa.array(text)) for c in keys), pa.array((start - w.first[text]).astype(np.int32)), before, after,
                     ],
-                    names=["edge", "check", *keys, "at"],
+                    names=["edge", "check", *keys, "at", "before", "after"],
                 )
 
-    first, last = T._parse_datatype_string("edge long, check int").fields, T._parse_datatype_string("at int").fields
+    first, last = T._parse_datatype_string("edge long, check int").fields, T._parse_datatype_string("at int, before long, after long").fields
     return slim.mapInArrow(run_, T.StructType([*first, *slim.select(*keys).schema.fields, *last]))
 
 
@@ -212,9 +226,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, filter
 
     Where ids repeat there is also ``version``, the xxhash64 of the text.
 
-    A span is a compacted path, with the source document and the word at which the
-    path starts there; a copy has one span without an end (``ALL``).  Documents
-    without spans have no row.
+    A span is a compacted path, with the source document, the word at which the
+    path starts there, and the digest of the path's words; a copy has one span
+    without an end (``ALL``) and without a digest.  Documents without spans have no row.
     """
     return _spans(_keyed(docs), window, run, filter_bits)
 
@@ -228,50 +242,101 @@ def _spans(keyed: DataFrame, window: int, run: int, filter_bits: int) -> DataFra
     passing = spark.sparkContext.broadcast(_candidates(slim, marks, window, run, bits, buckets))
     release(spark)
     walks = _walks(slim, marks, passing, window, run, bits)
+    source = [f"source_{c}" for c in keys]
     edges = written(
         walks.groupBy("edge", "check")
-        .agg(F.min(F.struct("doc_id", "at")).alias("source"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct(*keys, "at")).alias("source"), F.max("doc_id").alias("last"), _agreed("before"), _agreed("after"))
         .where("source.doc_id < last")
-        .select("edge", "check", F.col("source.doc_id").alias("source_doc"), F.col("source.at").alias("source"), "n")
+        .select("edge", "check", *[F.col(f"source.{c}").alias(f"source_{c}") for c in keys], F.col("source.at").alias("start"), (F.col("source.at") + 1).alias("end"), "before", "after")
     )
     release(spark)
-    walked = (
-        walks.join(edges, ["edge", "check"])
-        .where(F.col("doc_id") > F.col("source_doc"))
-        .select(*keys, F.struct("at", "source_doc", "source", "n").alias("step"))
+    paths, tables = compacted(edges, source)
+    paths = written(_digested(paths, every, source, window))
+    for each in tables:
+        drop_table(each)
+    release(spark)
+    span = F.struct(
+        F.col("at").alias("start"), (F.col("at") + F.col("end") - F.col("start") + F.lit(window - 1)).alias("end"),
+        F.col("source_doc_id").cast("long").alias("source_doc"), F.col("start").alias("source_start"), "digest",
+    )
+    found = (
+        walks.select("edge", "check", *keys, "at")
+        .join(paths, ["edge", "check"])
+        .where(F.col("doc_id") > F.col("source_doc_id"))
         .groupBy(*keys)
-        .agg(F.collect_list("step").alias("steps"))  # no more steps than the document has words
+        .agg(F.collect_list(span).alias("spans"))  # no more than the document has words
     )
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(ALL).alias("end"), F.col("source_doc").cast("long").alias("source_doc"), F.lit(0).alias("source_start"), F.lit(None).cast("binary").alias("digest")))
+    found = found.union(copies.select(*keys, whole.alias("spans")))
+    spans = written(found.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")))
+    drop_table(paths)
+    release(spark)
+    return spans
+
+
+def _agreed(column: str):
+    """True if no place of a window lacks the word and all have the same."""
+    return ((F.count(column) == F.count(F.lit(1))) & (F.min(column) == F.max(column))).alias(column)
 
-    def compact(batches):
+
+def compacted(edges: DataFrame, source: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """Nonbranching paths of edges (edge, check, source columns, start, end, before, after), and the tables that hold them.
+
+    before and after tell whether an edge may be joined to what precedes and follows it
+    in its source; a path keeps the hashes of its first edge.  A boundary between two
+    words of a source is met in the round of its lowest bit, by one path on either side.
+    """
+    tables, bit = [edges], 1
+    while not (live := tables[-1].where("before or after")).isEmpty():
+        ends = F.col("after") & (F.col("end").bitwiseAND(2 * bit - 1) == bit)
+        begins = F.col("before") & (F.col("start").bitwiseAND(2 * bit - 1) == bit)
+        a = live.where(ends).select(*source, F.col("end").alias("place"), F.struct("edge", "check", "start", "before").alias("a"))
+        b = live.where(begins).select(*source, F.col("start").alias("place"), F.struct("edge", "check", "end", "after").alias("b"))
+        met = a.join(b, [*source, "place"], "full_outer").select(
+            F.coalesce("a.edge", "b.edge").alias("edge"), F.coalesce("a.check", "b.check").alias("check"), *source,
+            F.coalesce("a.start", "place").alias("start"), F.coalesce("b.end", "place").alias("end"),
+            F.coalesce("a.before", F.lit(False)).alias("before"), F.coalesce("b.after", F.lit(False)).alias("after"),
+        )
+        tables.append(written(met.union(live.where(~ends & ~begins))))
+        bit *= 2
+    out = None
+    for each in tables:
+        done = each.where("not before and not after").drop("before", "after")
+        out = done if out is None else out.union(done)
+    return out, tables
+
+
+def _range_digests(w, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """A digest of each range of words, joined by one space."""
+    line, _, _ = joined(w, np.ones(len(w.starts), bool))
+    size = w.ends - w.starts
+    end = np.cumsum(size + 1) - 1
+    return [hashlib.blake2b(line[x:y], digest_size=DIGEST).digest() for x, y in zip((end - size)[first].tolist(), end[last - 1].tolist(), strict=True)]
+
+
+def _digested(paths: DataFrame, rows: DataFrame, source: list[str], window: int) -> DataFrame:
+    """paths with the digest of their words, read from their source's text."""
+    keys = [c.removeprefix("source_") for c in source]
+    if "version" in keys:
+        rows = rows.dropDuplicates(keys)
+    fields = ["edge", "check", "start", "end"]
+    ranges = paths.groupBy(*source).agg(F.collect_list(F.struct(*fields)).alias("__paths"))  # no more than the source has words
+    own = rows.select(*[F.col(k).alias(c) for k, c in zip(keys, source, strict=True)], "__text").join(ranges, source)
+
+    def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                lists = part.column("steps")
+            for part in steps(batch, "__text", STEP_BYTES):
+                w = words(*text_buffer(part.column("__text")), SPACED, lower=False)
+                lists = part.column("__paths")
                 flat = lists.flatten()
-                fields = [flat.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
-                of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                pos, source_doc, source, n = fields
-                order = np.lexsort((pos, of))
-                of, pos, source_doc, source, n = (x[order] for x in (of, pos, source_doc, source, n))
-                new = np.ones(len(of), bool)
-                new[1:] = (of[1:] != of[:-1]) | (pos[1:] != pos[:-1] + 1) | (source_doc[1:] != source_doc[:-1]) | (source[1:] != source[:-1] + 1) | (n[1:] != n[:-1])
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(of)) - 1
-                spans = pa.StructArray.from_arrays(
-                    [pa.array(pos[first], pa.int32()), pa.array(pos[last] + window, pa.int32()), pa.array(source_doc[first], pa.int64()), pa.array(source[first], pa.int32())],
-                    names=["start", "end", "source_doc", "source_start"],
-                )
-                bounds = np.searchsorted(of[first], np.arange(len(lists) + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), pa.ListArray.from_arrays(pa.array(bounds), spans)], names=[*keys, "spans"])
-
-    schema = T.StructType([*slim.select(*keys).schema.fields, *T._parse_datatype_string(f"spans {SPANS}").fields])
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(ALL).alias("end"), F.col("source_doc").cast("long").alias("source_doc"), F.lit(0).alias("source_start")))
-    found = walked.mapInArrow(compact, schema).union(copies.select(*keys, whole.alias("spans")))
-    spans = written(found.groupBy(*keys).agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    drop_table(edges)
-    release(spark)
-    return spans
+                of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+                start, end = (flat.field(i).to_numpy().astype(np.int64) for i in (2, 3))
+                digests = _range_digests(w, w.first[of] + start, w.first[of] + end + window - 1)
+                columns = [*(flat.field(i) for i in range(4)), *(part.column(c).take(pa.array(of)) for c in source), pa.array(digests, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*fields, *source, "digest"])
+
+    schema = T.StructType([*paths.select(*fields, *source).schema.fields, *T._parse_datatype_string("digest binary").fields])
+    return own.mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -290,6 +355,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, run: int = RUN, filte
                 of = np.repeat(np.arange(part.num_rows), counts)
                 first, last = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
                 valid = (last < ALL) | (np.diff(w.first)[of] >= window)  # a copy without a window stays
+                path = np.flatnonzero(last < ALL)
+                own = _range_digests(w, w.first[of[path]] + first[path], w.first[of[path]] + last[path])
+                told = flat.field(4).take(pa.array(path)).to_pylist()
+                valid[path] = [x == y for x, y in zip(own, told, strict=True)]
                 of, first, last = of[valid], first[valid], last[valid]
                 edge = np.zeros(total + 1, np.int64)
                 np.add.at(edge, np.minimum(w.first[of] + first, w.first[of + 1]), 1)

@@ -87,3 +87,41 @@ def test_rows_of_one_id(spark):
     rows = [(1, ab), (2, ab), (2, "zz " + cd), (2, "zz " + cd), (2, f"{cd} {ab}"), (3, cd), (3, "q"), (None, ab)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert digest(s.without_repeats(df, filter_bits=16)) == brute(rows, 13)
+
+
+def test_paths_are_unbranched_and_longest(spark):
+    """Against a plain walk over the edges: paths of odd and even starts, cut where a document branches, ends or begins."""
+    rng = random.Random(11)
+    long = [f"w{i}" for i in range(300)]
+    cuts = [sorted(rng.sample(range(300), 2)) for _ in range(25)]
+    rows = [(0, " ".join(long))] + [(d + 1, " ".join([f"u{d}", *long[x:y], f"v{d}"][d % 2 : 3 + y - x - d % 3])) for d, (x, y) in enumerate(cuts)]
+    places = {}
+    for d, t in rows:
+        w = split(t)
+        for i in range(len(w) - 12):
+            places.setdefault(tuple(w[i : i + 13]), []).append((d, i, w[i - 1] if i else None, w[i + 13] if i + 13 < len(w) else None))
+    edges = {min(v)[:2]: v for v in places.values() if len({p[0] for p in v}) > 1}
+    on = {k: len({p[3] for p in v}) == 1 and v[0][3] is not None for k, v in edges.items()}
+    back = {k: len({p[2] for p in v}) == 1 and v[0][2] is not None for k, v in edges.items()}
+    expected = []
+    for d, i in sorted(edges):
+        if (d, i - 1) in edges and on[d, i - 1] and back[d, i]:
+            expected[-1][2] = i + 1
+        else:
+            expected.append([d, i, i + 1])
+    ids = {k: n for n, k in enumerate(sorted(edges))}
+    df = spark.createDataFrame([(ids[k], 0, k[0], k[1], k[1] + 1, back[k], on[k]) for k in edges], "edge long, check int, source_doc_id long, start int, end int, before boolean, after boolean")
+    paths, _ = s.compacted(df, ["source_doc_id"])
+    got = sorted([r.source_doc_id, r.start, r.end] for r in paths.collect())
+    assert got == expected and any(e - i > 1 for _, i, e in got)
+    assert digest(s.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), filter_bits=16)) == brute(rows, 13)
+
+
+def test_spans_with_other_words_than_their_source_stay(spark, monkeypatch):
+    """Where both hashes of all windows agree, the words at the source coordinates tell spans apart."""
+    real = s.window_hashes
+    monkeypatch.setattr(s, "window_hashes", lambda h, n: real(h, n) & np.uint64(0) if n == 13 else real(h, n))
+    rows = [(1, " ".join(f"a{i}" for i in range(13))), (2, " ".join(f"b{i}" for i in range(13))), (3, " ".join(f"a{i}" for i in range(13)) + " "), (4, " ".join(f"b{i}" for i in range(13)) + " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    removed = {r.doc_id: r.n_removed for r in s.without_repeats(df, filter_bits=16).collect()}
+    assert removed == {1: 0, 2: 0, 3: 13, 4: 0}
