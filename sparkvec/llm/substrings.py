@@ -18,13 +18,15 @@ smallest document.  Joins and aggregates find them:
    of the join, so windows that agree in one of them only have sources of their own.
 3. Compaction.  A step between two edges is nonbranching if all places of the first
    go on alike and all places of the second come from alike; their source coordinates
-   are then consecutive.  Joins compact such steps to paths: round r joins the paths
-   that end at an odd multiple of 2**r words of a source with those that begin there,
-   so a path of any length takes as many rounds as its coordinates have bits, and
-   each round has half as many paths left.
+   are then consecutive.  One join of edges with those that follow them in their source
+   leaves only the steps that branch; there paths end and begin.  First and last edges
+   of a source alternate, so both are numbered along it, and a second join of equal
+   numbers is the compacted paths, however long they are.
 4. Spans.  Whoever walks a path's first edge walks the whole path, so the documents'
-   walks are joined to first edges only.  A path carries a digest of its words, read
-   at its source coordinates; a document's span counts if its own words have it.
+   walks are joined to first edges only; a filter of first edges, lossless and of the
+   size of the other, keeps other windows out of that join.  A path carries a digest
+   of its words, read at its source coordinates; a document's span counts if its own
+   words have it.
 
 A document loses the words of its spans.  Windows are judged on the input.
 
@@ -42,7 +44,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +60,10 @@ FILTER_BITS, SEND = 29, 1 << 19
 SENT = 40
 #: Bits of the filter of repeated texts at most (8 MB).
 COPY_BITS = 26
+#: Bits of a word's place in its text, where it is packed with the id.
+PLACE = 31
+#: Stands for the hash of a word beyond the end of a text; a word of that hash only makes paths shorter.
+NO_WORD = -(1 << 63)
 #: Bytes of a path's digest.
 DIGEST = 16
 #: End of a span that covers its document to the end.
@@ -181,10 +187,11 @@ def _without_copies(slim: DataFrame, bits: int):
     return rest, sent, written(copies)
 
 
-def _walks(slim: DataFrame, marks, passing, window: int, run: int, bits: int) -> DataFrame:
+def _walks(slim: DataFrame, marks, passing, window: int, run: int, bits: int, packed: bool) -> DataFrame:
     """(edge, check, keys, at, before, after) of each window that passes the filter.
 
-    These are its two hashes, its first word, and hashes of the words around it, null where the text ends.
+    These are its two hashes, its first word, and hashes of the words around it, ``NO_WORD``
+    where the text ends.  If packed, ``place`` stands for doc_id and at: 31 bits are the latter.
     """
 
     keys, copy_bits = [c for c in slim.columns if c not in ("__text", "__hash")], min(bits, COPY_BITS)
@@ -194,24 +201,101 @@ def _walks(slim: DataFrame, marks, passing, window: int, run: int, bits: int) ->
             batch = batch.filter(pa.array(~_repeats(batch, marks.value, copy_bits)))
             for part in steps(batch, "__text", STEP_BYTES):
                 w, h, start, at, k = _minimized(part, window, run)
-                slot = k[at] >> U(64 - bits)
-                start = start[(passing.value[(slot >> U(3)).astype(np.int64)] >> (7 - (slot & U(7)).astype(np.uint8))) & 1 == 1]
+                start = start[_marked(passing.value, k[at], bits)]
                 if not len(start):
                     continue
                 edge, check = window_hashes(h, window), window_hashes(w.hashes(seed=1), window) >> U(32)
                 text = np.searchsorted(w.first, start, side="right") - 1
-                before = pa.array(h[np.maximum(start - 1, 0)].view(np.int64), mask=start == w.first[text])
-                after = pa.array(h[np.minimum(start + window, len(h) - 1)].view(np.int64), mask=start + window == w.first[text + 1])
+                before = np.where(start == w.first[text], NO_WORD, h[np.maximum(start - 1, 0)].view(np.int64))
+                after = np.where(start + window == w.first[text + 1], NO_WORD, h[np.minimum(start + window, len(h) - 1)].view(np.int64))
+                at = start - w.first[text]
+                if packed:
+                    places = [pa.array((part.column("doc_id").to_numpy().astype(np.int64)[text] << PLACE) + at)]
+                else:
+                    places = [*(part.column(c).take(pa.array(text)) for c in keys), pa.array(at.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(edge[start].view(np.int64)), pa.array(check[start].astype(np.uint32).view(np.int32)), *places, pa.array(before), pa.array(after)],
+                    names=["edge", "check", *(["place"] if packed else [*keys, "at"]), "before", "after"],
+                )
+
+    first, last = T._parse_datatype_string("edge long, check int").fields, T._parse_datatype_string("before long, after long").fields
+    places = T._parse_datatype_string("place long").fields if packed else [*slim.select(*keys).schema.fields, *T._parse_datatype_string("at int").fields]
+    return slim.mapInArrow(run_, T.StructType([*first, *places, *last]))
+
+
+def _edges(walks: DataFrame, keys: list[str], packed: bool) -> DataFrame:
+    """The windows of several documents: hashes, source coordinates, and whether all places agree on the words around them."""
+    agreed = [((F.min(c) == F.max(c)) & (F.min(c) != NO_WORD)).alias(c) for c in ("before", "after")]
+    if packed:  # numbers only, which hash aggregates hold
+        id_, at = F.shiftright("source", PLACE), F.col("source").bitwiseAND((1 << PLACE) - 1).cast("int")
+        found = walks.groupBy("edge", "check").agg(F.min("place").alias("source"), F.max("place").alias("last"), *agreed)
+        return found.where(id_ < F.shiftright("last", PLACE)).select("edge", "check", id_.alias("source_doc_id"), at.alias("start"), (at + 1).alias("end"), "before", "after")
+    found = walks.groupBy("edge", "check").agg(F.min(F.struct(*keys, "at")).alias("source"), F.max("doc_id").alias("last"), *agreed)
+    return found.where("source.doc_id < last").select(
+        "edge", "check", *[F.col(f"source.{c}").alias(f"source_{c}") for c in keys], F.col("source.at").alias("start"), (F.col("source.at") + 1).alias("end"), "before", "after"
+    )
+
+
+def _fits(every: DataFrame, keys: list[str]) -> bool:
+    """Whether ids are longs that leave the bits of a place."""
+    if keys != ["doc_id"] or every.schema["doc_id"].dataType != T.LongType():
+        return False
+    least, most = every.agg(F.min("doc_id"), F.max("doc_id")).first()
+    return least is None or (-(1 << 63 - PLACE) <= least and most < 1 << 63 - PLACE)
+
+
+def _marked(filter_: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """True for the hashes whose top bits are set in a bitmap."""
+    slot = hashes >> U(64 - bits)
+    return (filter_[(slot >> U(3)).astype(np.int64)] >> (7 - (slot & U(7)).astype(np.uint8))) & 1 == 1
+
+
+def _first_edges(paths: DataFrame, bits: int, buckets: int) -> np.ndarray:
+    """A bitmap by the top ``bits`` of the first edge of each path."""
+
+    def gather(key, group):
+        slots = (group.column("edge").to_numpy().view(U) << U(buckets)) >> U(64 - (bits - buckets))
+        bitmap = np.zeros(1 << (bits - buckets), bool)
+        bitmap[slots.astype(np.int64)] = True
+        return pa.table({"bucket": group.column("bucket")[:1], "bitmap": pa.array([np.packbits(bitmap).tobytes()], pa.binary())})
+
+    made = paths.select(F.shiftrightunsigned("edge", 64 - buckets).cast("int").alias("bucket"), "edge").groupBy("bucket").applyInArrow(gather, "bucket int, bitmap binary")
+    filter_ = np.zeros((1 << buckets, 1 << (bits - buckets - 3)), np.uint8)
+    for row in made.toLocalIterator():  # 2**bits bits in all, however large the input
+        filter_[row.bucket] = np.frombuffer(row.bitmap, np.uint8)
+    return filter_.reshape(-1)
+
+
+def _entries(slim: DataFrame, marks, first_edges, window: int, bits: int) -> DataFrame:
+    """(edge, check, keys, at) of each window whose edge passes the filter of first edges."""
+
+    keys, copy_bits = [c for c in slim.columns if c not in ("__text", "__hash")], min(bits, COPY_BITS)
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(~_repeats(batch, marks.value, copy_bits)))
+            for part in steps(batch, "__text", STEP_BYTES):
+                w = words(*text_buffer(part.column("__text")), SPACED, lower=False)
+                h = w.hashes()
+                edge = window_hashes(h, window)
+                start = np.flatnonzero(no_straddle(w.first, len(h), window)[: len(edge)] & _marked(first_edges.value, edge, bits))
+                if not len(start):
+                    continue
+                if len(start) * window < len(h):
+                    check = window_hashes(w.hashes((start[:, None] + np.arange(window)).ravel(), seed=1), window)[::window]
+                else:
+                    check = window_hashes(w.hashes(seed=1), window)[start]
+                text = np.searchsorted(w.first, start, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(edge[start].view(np.int64)), pa.array(check[start].astype(np.uint32).view(np.int32)),
-                        *(part.column(c).take(pa.array(text)) for c in keys), pa.array((start - w.first[text]).astype(np.int32)), before, after,
+                        pa.array(edge[start].view(np.int64)), pa.array((check >> U(32)).astype(np.uint32).view(np.int32)),
+                        *(part.column(c).take(pa.array(text)) for c in keys), pa.array((start - w.first[text]).astype(np.int32)),
                     ],
-                    names=["edge", "check", *keys, "at", "before", "after"],
+                    names=["edge", "check", *keys, "at"],
                 )
 
-    first, last = T._parse_datatype_string("edge long, check int").fields, T._parse_datatype_string("at int, before long, after long").fields
-    return slim.mapInArrow(run_, T.StructType([*first, *slim.select(*keys).schema.fields, *last]))
+    first, last = T._parse_datatype_string("edge long, check int").fields, T._parse_datatype_string("at int").fields
+    return slim.mapInArrow(run, T.StructType([*first, *slim.select(*keys).schema.fields, *last]))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -241,26 +325,23 @@ def _spans(keyed: DataFrame, window: int, run: int, filter_bits: int) -> DataFra
     release(spark)
     passing = spark.sparkContext.broadcast(_candidates(slim, marks, window, run, bits, buckets))
     release(spark)
-    walks = _walks(slim, marks, passing, window, run, bits)
-    source = [f"source_{c}" for c in keys]
-    edges = written(
-        walks.groupBy("edge", "check")
-        .agg(F.min(F.struct(*keys, "at")).alias("source"), F.max("doc_id").alias("last"), _agreed("before"), _agreed("after"))
-        .where("source.doc_id < last")
-        .select("edge", "check", *[F.col(f"source.{c}").alias(f"source_{c}") for c in keys], F.col("source.at").alias("start"), (F.col("source.at") + 1).alias("end"), "before", "after")
-    )
+    packed = _fits(every, keys)
+    edges = written(_edges(_walks(slim, marks, passing, window, run, bits, packed), keys, packed))
+    passing.unpersist()
     release(spark)
+    source = [f"source_{c}" for c in keys]
     paths, tables = compacted(edges, source)
     paths = written(_digested(paths, every, source, window))
-    for each in tables:
+    for each in [edges, *tables]:
         drop_table(each)
     release(spark)
+    first_edges = spark.sparkContext.broadcast(_first_edges(paths, bits, buckets))
     span = F.struct(
         F.col("at").alias("start"), (F.col("at") + F.col("end") - F.col("start") + F.lit(window - 1)).alias("end"),
         F.col("source_doc_id").cast("long").alias("source_doc"), F.col("start").alias("source_start"), "digest",
     )
     found = (
-        walks.select("edge", "check", *keys, "at")
+        _entries(slim, marks, first_edges, window, bits)
         .join(paths, ["edge", "check"])
         .where(F.col("doc_id") > F.col("source_doc_id"))
         .groupBy(*keys)
@@ -270,40 +351,27 @@ def _spans(keyed: DataFrame, window: int, run: int, filter_bits: int) -> DataFra
     found = found.union(copies.select(*keys, whole.alias("spans")))
     spans = written(found.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans")))
     drop_table(paths)
+    first_edges.unpersist()
     release(spark)
     return spans
 
 
-def _agreed(column: str):
-    """True if no place of a window lacks the word and all have the same."""
-    return ((F.count(column) == F.count(F.lit(1))) & (F.min(column) == F.max(column))).alias(column)
-
-
 def compacted(edges: DataFrame, source: list[str]) -> tuple[DataFrame, list[DataFrame]]:
     """Nonbranching paths of edges (edge, check, source columns, start, end, before, after), and the tables that hold them.
 
     before and after tell whether an edge may be joined to what precedes and follows it
-    in its source; a path keeps the hashes of its first edge.  A boundary between two
-    words of a source is met in the round of its lowest bit, by one path on either side.
+    in its source; a path keeps the hashes of its first edge.  Two joins do it: edges that
+    meet at a word of their source, where a step that does not branch goes, and the n-th
+    first edge of a source with its n-th last one.
     """
-    tables, bit = [edges], 1
-    while not (live := tables[-1].where("before or after")).isEmpty():
-        ends = F.col("after") & (F.col("end").bitwiseAND(2 * bit - 1) == bit)
-        begins = F.col("before") & (F.col("start").bitwiseAND(2 * bit - 1) == bit)
-        a = live.where(ends).select(*source, F.col("end").alias("place"), F.struct("edge", "check", "start", "before").alias("a"))
-        b = live.where(begins).select(*source, F.col("start").alias("place"), F.struct("edge", "check", "end", "after").alias("b"))
-        met = a.join(b, [*source, "place"], "full_outer").select(
-            F.coalesce("a.edge", "b.edge").alias("edge"), F.coalesce("a.check", "b.check").alias("check"), *source,
-            F.coalesce("a.start", "place").alias("start"), F.coalesce("b.end", "place").alias("end"),
-            F.coalesce("a.before", F.lit(False)).alias("before"), F.coalesce("b.after", F.lit(False)).alias("after"),
-        )
-        tables.append(written(met.union(live.where(~ends & ~begins))))
-        bit *= 2
-    out = None
-    for each in tables:
-        done = each.where("not before and not after").drop("before", "after")
-        out = done if out is None else out.union(done)
-    return out, tables
+    a = edges.select(*source, F.col("end").alias("place"), F.col("after").alias("goes"))
+    b = edges.select(*source, F.col("start").alias("place"), "before", "edge", "check")
+    bounds = a.join(b, [*source, "place"], "full_outer").where("not (coalesce(goes, false) and coalesce(before, false))")
+    along = Window.partitionBy(*source).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounds = written(bounds.select(*source, "place", F.col("goes").isNotNull().alias("ends"), F.col("before").isNotNull().alias("begins"), "edge", "check").withColumn("nth", F.count_if("begins").over(along)))
+    first = bounds.where("begins").select(*source, "nth", "edge", "check", F.col("place").alias("start"))
+    last = bounds.where("ends").select(*source, (F.col("nth") - F.col("begins").cast("long")).alias("nth"), F.col("place").alias("end"))
+    return first.join(last, [*source, "nth"]).select("edge", "check", *source, "start", "end"), [bounds]
 
 
 def _range_digests(w, first: np.ndarray, last: np.ndarray) -> list[bytes]:

@@ -125,3 +125,23 @@ def test_spans_with_other_words_than_their_source_stay(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
     removed = {r.doc_id: r.n_removed for r in s.without_repeats(df, filter_bits=16).collect()}
     assert removed == {1: 0, 2: 0, 3: 13, 4: 0}
+
+
+def test_compaction_takes_as_many_steps_for_any_length(spark):
+    """A path of 5,000 edges writes as many tables as one of 4."""
+    made = []
+    for n in (4, 5000):
+        edges = spark.range(n).selectExpr("id as edge", "0 as check", "7L as source_doc_id", "cast(id as int) as start", "cast(id as int) + 1 as end", "id > 0 as before", f"id < {n - 1} as after")
+        paths, tables = s.compacted(edges, ["source_doc_id"])
+        assert [(r.edge, r.source_doc_id, r.start, r.end) for r in paths.collect()] == [(0, 7, 0, n)]
+        made.append(len(tables))
+    assert made[0] == made[1]
+
+
+@pytest.mark.parametrize("shift", [-(1 << 32), (1 << 32) - 10, 1 << 61])
+def test_ids_of_any_size(spark, shift):
+    """Ids that leave the bits of a place in a long, just do not, and do not."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [(shift + 3, " ".join(base[4:30])), (shift, " ".join(base)), (shift + 8, " ".join(["q", *base[:20], "q"])), (shift + 12, " ".join(base[20:] + base[:13]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert digest(s.without_repeats(df, filter_bits=16)) == brute(rows, 13)
