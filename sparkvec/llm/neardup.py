@@ -15,9 +15,11 @@ size and returns a spanning forest of its links, never all pairs.  A block value
 more fingerprints than a task may hold is cut again by blocks of its other bits.
 
 The pipeline's stage asks for edited copies, five-word shingles with a Jaccard
-similarity of 0.8 or more.  Their fingerprints differ in about ten bits, which no
-trie can prune, so ``deduplicated`` finds candidates by bands of least hashes and
-compares their shingle sets.
+similarity of 0.8 or more.  A bit of their fingerprints differs with a probability of
+0.15, so 64 bits do not tell them apart: ``deduplicated`` takes WORDS fingerprints of
+64 bits, a trie for each block of each, as above, and a budget for the word and one
+for it with the two words after it.  The shingle sets of what the tries link are
+compared whole.
 
 Nulls: a null text has no words and so fingerprint zero; null ids are ignored
 when the least id is chosen, and a class of null ids only has a null one.  Repeated
@@ -33,11 +35,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from sparkvec.llm._util import STEP_BYTES, written
+from sparkvec.llm._util import STEP_BYTES, release, written
 from sparkvec.llm._words import SPACED, U, mix, no_straddle, sequence_hashes, steps, text_buffer, words
 from sparkvec.llm.components import components
 
@@ -50,8 +52,13 @@ TASK_ROWS, UNIT_ROWS = 1 << 11, 1 << 20
 FRONTIER = 1 << 18
 #: Word shingles and Jaccard similarity of the pipeline's stage.
 STAGE_SHINGLE, SIMILARITY = 5, 0.8
-#: Least hashes by which candidates are found: a pair at 0.8 shares no band with probability (1 - 0.8 ** 4) ** 32 = 5e-8.
-BANDS, BAND_ROWS = 32, 4
+#: Fingerprints of a text in that stage and blocks of each: a pair at 0.8 differs in every block with probability 1e-8.
+WORDS, WORD_BLOCKS = 28, 5
+#: Bits that a linked pair may differ in: of the 51 or more of a word beyond its block, and with the two words after it.
+#: Means of 7.8 and 27 at similarity 0.8, and about five standard deviations.
+WORD_BUDGET, BUDGET = 20, 52
+#: Copies of fingerprints that one task of that stage should hold about.
+STAGE_ROWS = 1 << 14
 #: Texts, and shingles, of a block of candidates that are compared in one task.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
 _LANES = U(0x0101010101010101)
@@ -149,9 +156,11 @@ def _products(lo1, hi1, lo2, hi2):
     return lo1[which] + inner // wide[which], lo2[which] + inner % wide[which]
 
 
-def trie_links(values: np.ndarray, pairs: tuple, radius: int, forest: Forest, leaf: int = 64) -> None:
+def trie_links(values: np.ndarray, pairs: tuple, radius: int, forest: Forest, leaf: int = 64, more: tuple = (), budget: int = 0) -> None:
     """Traverse node pairs of the trie over sorted ``values`` and link what is within the budget.
 
+    more: further words of each value; with them a link may differ in ``budget`` bits in all.
+
     A node is a range of ``values`` that agree on ``depth`` bits.  pairs: arrays
     (lo1, hi1, lo2, hi2, differing bits, depth); a node paired with itself stands
     for its inner pairs.
@@ -169,8 +178,13 @@ def trie_links(values: np.ndarray, pairs: tuple, radius: int, forest: Forest, le
             cells = tuple(x[small] for x in (lo1, hi1, lo2, hi2))
             for at in range(0, len(cells[0]), FRONTIER // 8):
                 a, b = _products(*(x[at : at + FRONTIER // 8] for x in cells))
-                near = (np.bitwise_count(values[a] ^ values[b]) <= radius) & (a != b)
-                forest.link(a[near], b[near])
+                bits_ = np.bitwise_count(values[a] ^ values[b])
+                near = (bits_ <= radius) & (a != b)
+                a, b, bits_ = a[near], b[near], bits_[near]
+                if more:
+                    near = bits_ + sum(np.bitwise_count(x[a] ^ x[b]) for x in more) <= budget
+                    a, b = a[near], b[near]
+                forest.link(a, b)
         lo1, hi1, lo2, hi2, bits, depth = (x[~small] for x in now)
         if not len(lo1):
             continue
@@ -192,7 +206,7 @@ def trie_links(values: np.ndarray, pairs: tuple, radius: int, forest: Forest, le
             stack.append(tuple(x[alive] for x in merged))
 
 
-def unit_forest(turned: np.ndarray, depth: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def unit_forest(turned: np.ndarray, depth: int, radius: int, more: tuple = (), budget: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links (indices) among fingerprints, turned so that ``depth`` bits stand first that none of a link differ in."""
     order = np.argsort(turned)
     values = turned[order]
@@ -203,7 +217,7 @@ def unit_forest(turned: np.ndarray, depth: int, radius: int) -> tuple[np.ndarray
     first, last = first[several], last[several]
     forest = Forest(len(values))
     zero = np.zeros(len(first), np.int64)
-    trie_links(values, (first, last, first, last, zero, zero + depth), radius, forest)
+    trie_links(values, (first, last, first, last, zero, zero + depth), radius, forest, more=tuple(x[order] for x in more), budget=budget)
     linked = np.flatnonzero(forest.root != np.arange(len(values)))
     return order[linked], order[forest.root[linked]]
 
@@ -304,20 +318,37 @@ def shingle_hashes(data: np.ndarray, bounds: np.ndarray, shingle: int) -> tuple[
     return runs, first, whole
 
 
-def band_keys(runs: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """BANDS keys of each set runs[first[i]:first[i + 1]] that is not empty: equal where a band of least hashes is equal."""
-    some = first[:-1][np.diff(first) > 0]
-    out = np.empty((len(some), BANDS), U)
-    if not len(some):
-        return out
-    # Odd factors of a fixed sequence: each puts the hashes in another order.
-    factors = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=U)) | U(1)
-    for band in range(BANDS):
-        key = np.full(len(some), U(band))
-        for row in range(BAND_ROWS):
-            key = mix(key * U(0x9FB21C651E98DF25) ^ np.minimum.reduceat(runs * factors[band * BAND_ROWS + row], some))
-        out[:, band] = key
-    return out
+def set_fingerprints(runs: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(texts, WORDS) array: the bitwise majorities of each set of runs[first[i]:first[i + 1]], in which repeats count once."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((runs, text))
+    runs, text = runs[order], text[order]
+    new = np.ones(len(runs), bool)
+    new[1:] = (runs[1:] != runs[:-1]) | (text[1:] != text[:-1])
+    runs, first = runs[new], np.searchsorted(text[new], np.arange(len(first)))
+    return np.stack([majority_bits(mix(runs ^ mix(np.full(1, nth + 1, U))), first) for nth in range(WORDS)], axis=1)
+
+
+def word_links(rows: DataFrame, task_rows: int) -> DataFrame:
+    """Links (u, v) between the ``fp`` of rows (fp, words), each once, that the tries over all blocks of all words find."""
+    total = rows.count()
+    dealt = min(64 // WORD_BLOCKS, max(0, math.ceil(math.log2(max(1, total / task_rows)))))
+    after = [F.element_at("words", F.pmod(F.col("nth") + i, F.lit(WORDS)) + 1).alias(f"after{i}") for i in (1, 2)]
+    edges = [64 * i // WORD_BLOCKS for i in range(WORD_BLOCKS + 1)]
+    turned = [F.expr(f"shiftleft(word, {at}) | shiftrightunsigned(word, {64 - at})" if at else "word") for at in edges[:-1]]
+    each = rows.select("fp", "words", F.posexplode("words").alias("nth", "word")).select("fp", "nth", "word", *after)
+    copies = each.select("fp", "nth", "after1", "after2", F.posexplode(F.array(*turned)).alias("block", "turned"))
+    path = (F.col("nth") * WORD_BLOCKS + F.col("block")).alias("path")
+    group = (F.expr(f"cast(shiftrightunsigned(turned, {64 - dealt}) as int)") if dealt else F.lit(0)).alias("group")
+    copies = copies.select(path, group, "turned", "after1", "after2", "fp")
+
+    def run(key, group):
+        turned, *more, fp = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("turned", "after1", "after2", "fp"))
+        block = key[0].as_py() % WORD_BLOCKS
+        u, v = unit_forest(turned.view(U), edges[block + 1] - edges[block], WORD_BUDGET, tuple(x.view(U) for x in more), BUDGET)
+        return pa.table({"u": fp[u], "v": fp[v]})
+
+    return copies.groupBy("path", "group").applyInArrow(run, "u long, v long")
 
 
 def similar_pairs(sets: list[np.ndarray], similarity: float, left: int) -> tuple[np.ndarray, np.ndarray]:
@@ -345,15 +376,14 @@ def similar_pairs(sets: list[np.ndarray], similarity: float, left: int) -> tuple
 
 
 def shingle_links(docs: DataFrame, rows: DataFrame, least: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """Links (u, v) between the texts ``fp`` of rows (fp, bands) whose shingle sets are similar enough.
+    """Links (u, v) between the texts ``fp`` of rows (fp, words) whose shingle sets are similar enough.
 
-    Texts that share a band of least hashes are candidates; their connected groups
+    Texts whose fingerprints the tries link are candidates; their connected groups
     are cut in blocks of bounded size, and a task compares the whole shingle sets
     of two blocks.  least (fp, least) names one row of docs for each text.
     """
-    keys = rows.select("fp", "bands").dropDuplicates(["fp"]).select("fp", F.explode("bands").alias("key"))
-    met = keys.withColumn("v", F.min("fp").over(Window.partitionBy("key"))).where("fp <> v")
-    groups = components(met.select(F.col("fp").alias("u"), "v"))
+    groups = components(word_links(rows.where("n > 0").select("fp", "words").dropDuplicates(["fp"]), STAGE_ROWS))
+    release(docs.sparkSession)
     members = groups.join(rows.select("fp", "n").dropDuplicates(["fp"]), groups["node"] == F.col("fp")).select("fp", "root", "n")
     blocks = members.groupBy("root").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
@@ -412,13 +442,12 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
             for part in steps(batch, "__text", STEP_BYTES):
                 runs, first, whole = shingle_hashes(*text_buffer(part.column("__text")), shingle)
                 n = np.diff(first)
-                offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))])
-                bands = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(band_keys(runs, first).ravel().view(np.int64)))
-                columns = [part.column("doc_id"), part.column("hash"), pa.array(whole.view(np.int64)), pa.array(n.astype(np.int64)), bands]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "fp", "n", "bands"])
+                fps = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * WORDS, pa.int32()), pa.array(set_fingerprints(runs, first).ravel().view(np.int64)))
+                columns = [part.column("doc_id"), part.column("hash"), pa.array(whole.view(np.int64)), pa.array(n.astype(np.int64)), fps]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "hash", "fp", "n", "words"])
 
     kept = keyed.select("doc_id", "hash").schema
-    rows = written(keyed.mapInArrow(run, kept.add("fp", "long").add("n", "long").add("bands", ArrayType(LongType()))))
+    rows = written(keyed.mapInArrow(run, kept.add("fp", "long").add("n", "long").add("words", ArrayType(LongType()))))
     classes = _classes(rows, key, lambda least: shingle_links(docs, rows, least, similarity, shingle))
     chosen = classes.select("first").distinct().select("first.doc_id", "first.hash")
     chosen = written(chosen)

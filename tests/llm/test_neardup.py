@@ -129,3 +129,36 @@ def test_edited_copies_go_and_clean_documents_stay(spark, monkeypatch, block):
     assert 20 < len(expected) < len(texts) - 15
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in nd.deduplicated(df).collect()) == expected
+
+
+def test_stage_goes_through_the_tries(spark, monkeypatch):
+    """What the tries over the fingerprints do not link stays, edited copy or not; what they link is found at 0.8."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 9000, 94)]
+        texts += [" ".join(base), " ".join(base[:47] + ["edited"] + base[48:])]
+    assert 0.8 <= jaccard(*texts[:2]) < 0.95
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in nd.deduplicated(df).collect()) == list(range(0, 80, 2))
+    real = nd.word_links
+    monkeypatch.setattr(nd, "word_links", lambda rows, n: real(rows, n).limit(0))
+    assert nd.deduplicated(df).count() == 80
+
+
+def test_bits_of_pairs_at_the_similarity():
+    """Pairs at 0.8, their repeated shingles beside: each shares a block in some word, and none is over a budget there."""
+    rng = np.random.default_rng(7)
+    for n in (4, 9, 90, 900):
+        for _ in range(20):
+            a = rng.integers(0, 2**64, n, dtype=np.uint64)
+            b = a[: max(n - n // 9, 4)]
+            b = np.concatenate([b, rng.integers(0, 2**64, max(1, n - len(b)), dtype=np.uint64)])
+            x, y = nd.set_fingerprints(np.concatenate([a, a[:3], b]), np.array([0, n + 3, n + 3 + len(b)]))
+            far = x ^ y
+            found = 0
+            for nth in range(nd.WORDS):
+                bits = [int(far[(nth + i) % nd.WORDS]).bit_count() for i in range(3)]
+                free = any(int(far[nth]) >> 64 - 64 * (i + 1) // 5 & (1 << 64 * (i + 1) // 5 - 64 * i // 5) - 1 == 0 for i in range(5))
+                found += free and bits[0] <= nd.WORD_BUDGET and sum(bits) <= nd.BUDGET
+            assert found
