@@ -61,6 +61,8 @@ WORD_BUDGET, BUDGET = 20, 52
 STAGE_ROWS = 1 << 14
 #: Texts, and shingles, of a block of candidates that are compared in one task.
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 20
+#: Links that a task pools before it writes a spanning forest of them.
+POOLED_LINKS = 1 << 18
 _LANES = U(0x0101010101010101)
 
 
@@ -222,6 +224,42 @@ def unit_forest(turned: np.ndarray, depth: int, radius: int, more: tuple = (), b
     return order[linked], order[forest.root[linked]]
 
 
+def least_ends(fp: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (values) of a forest's trees, given as indices u and the roots v: each of a tree to its least ``fp``."""
+    least = fp.copy()
+    np.minimum.at(least, v, fp[u])
+    roots = np.unique(v)
+    ends, low = fp[np.concatenate([u, roots])], least[np.concatenate([v, roots])]
+    return ends[ends != low], low[ends != low]
+
+
+def spanning(links: DataFrame) -> DataFrame:
+    """Links (u, v) of the same components, about one for each end, however many of ``links`` name it.
+
+    Links are dealt by their greater end; of at most POOLED_LINKS of them a task
+    keeps a forest, which has each end once, beside the least one that it reaches.
+    """
+    greater = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+    def run(batches):
+        batches = iter(batches)
+        more = True
+        while more:
+            pool, size = [], 0
+            while size < POOLED_LINKS and (more := (batch := next(batches, None)) is not None):
+                pool.append(batch)
+                size += batch.num_rows
+            if size:
+                u, v = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in pool]) for c in ("u", "v"))
+                ends, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+                forest = Forest(len(ends))
+                forest.link(at[:size], at[size:])
+                linked = np.flatnonzero(forest.root != np.arange(len(ends)))
+                yield pa.RecordBatch.from_arrays([pa.array(ends[linked]), pa.array(ends[forest.root[linked]])], names=["u", "v"])
+
+    return greater.repartition("u").sortWithinPartitions("u").mapInArrow(run, "u long, v long")
+
+
 def block_copies(units: DataFrame, radius: int) -> DataFrame:
     """Each unit (path, depth, turned, fp) once for each of radius + 1 blocks of the bits after ``depth``, turned to begin with it."""
     blocks = radius + 1
@@ -345,8 +383,8 @@ def word_links(rows: DataFrame, task_rows: int) -> DataFrame:
     def run(key, group):
         turned, *more, fp = (group.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("turned", "after1", "after2", "fp"))
         block = key[0].as_py() % WORD_BLOCKS
-        u, v = unit_forest(turned.view(U), edges[block + 1] - edges[block], WORD_BUDGET, tuple(x.view(U) for x in more), BUDGET)
-        return pa.table({"u": fp[u], "v": fp[v]})
+        u, v = least_ends(fp, *unit_forest(turned.view(U), edges[block + 1] - edges[block], WORD_BUDGET, tuple(x.view(U) for x in more), BUDGET))
+        return pa.table({"u": u, "v": v})
 
     return copies.groupBy("path", "group").applyInArrow(run, "u long, v long")
 
@@ -382,7 +420,7 @@ def shingle_links(docs: DataFrame, rows: DataFrame, least: DataFrame, similarity
     are cut in blocks of bounded size, and a task compares the whole shingle sets
     of two blocks.  least (fp, least) names one row of docs for each text.
     """
-    groups = components(word_links(rows.where("n > 0").select("fp", "words").dropDuplicates(["fp"]), STAGE_ROWS))
+    groups = components(spanning(word_links(rows.where("n > 0").select("fp", "words").dropDuplicates(["fp"]), STAGE_ROWS)))
     release(docs.sparkSession)
     members = groups.join(rows.select("fp", "n").dropDuplicates(["fp"]), groups["node"] == F.col("fp")).select("fp", "root", "n")
     blocks = members.groupBy("root").agg(
@@ -421,10 +459,10 @@ def shingle_links(docs: DataFrame, rows: DataFrame, least: DataFrame, similarity
         forest = Forest(len(once))
         forest.link(i, j)
         linked = np.flatnonzero(forest.root != np.arange(len(once)))
-        fps = fps[once]
-        return pa.table({"u": fps[linked], "v": fps[forest.root[linked]]})
+        u, v = least_ends(fps[once], linked, forest.root[linked])
+        return pa.table({"u": u, "v": v})
 
-    return dealt.groupBy("root", "a", "b").applyInArrow(run, "u long, v long")
+    return spanning(dealt.groupBy("root", "a", "b").applyInArrow(run, "u long, v long"))
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = STAGE_SHINGLE) -> DataFrame:

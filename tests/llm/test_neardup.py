@@ -146,6 +146,41 @@ def test_stage_goes_through_the_tries(spark, monkeypatch):
     assert nd.deduplicated(df).count() == 80
 
 
+@pytest.mark.parametrize("copies", [60, 240])
+def test_links_of_a_large_group_stay_in_proportion(spark, monkeypatch, copies):
+    """The rounds that connect a group get about one link for each text of it, not one for each word and block that finds it."""
+    monkeypatch.setattr(nd, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 9000, 200)]
+    texts = [" ".join(base[:i] + [f"edit{k}"] + base[i + 1 :]) for k, i in enumerate(rng.integers(0, 200, copies))]
+    given = []
+
+    def counted(links):
+        links = nd.written(links)
+        given.append((links.distinct().count(), links.select("u").union(links.select("v")).distinct().count()))
+        return components(links)
+
+    monkeypatch.setattr(nd, "components", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in nd.deduplicated(df).collect()] == [0]
+    assert len(given) == 2
+    assert all(ends == copies and links < 3 * ends for links, ends in given)
+
+
+@pytest.mark.parametrize("pooled", [1 << 18, 1])
+def test_spanning_links_have_the_same_components(spark, monkeypatch, pooled):
+    monkeypatch.setattr(nd, "POOLED_LINKS", pooled)
+    rng = np.random.default_rng(9)
+    rows = rng.integers(-60, 60, (90, 2)).tolist()
+    rows = [*rows * 5, (7, 7), (None, 3), (3, None), (1000, 2000), (2000, 1000), (-(2**63), 2**63 - 1)]
+    links = spark.createDataFrame([tuple(r) for r in rows], "u long, v long").repartition(3)
+    thin = nd.spanning(links)
+    named = lambda df: sorted(map(tuple, components(df).collect()))
+    assert named(thin) == named(links)
+    assert all(r.u > r.v for r in thin.collect()) and thin.count() < 200
+    assert nd.spanning(links.limit(0)).count() == 0
+
+
 def test_bits_of_pairs_at_the_similarity():
     """Pairs at 0.8, their repeated shingles beside: each shares a block in some word, and none is over a budget there."""
     rng = np.random.default_rng(7)
