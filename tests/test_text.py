@@ -28,6 +28,18 @@ def test_hash_vectors(spark):
     assert spark.range(1).select(embed(F.lit("hello"))).first()[0] == pytest.approx(v.tolist())
 
 
+def test_texts_do_not_share_vectors(spark):
+    # The MD5 of these two agree in their last 31 bits.
+    a, b = "text 8456", "text 34903"
+    assert not np.array_equal(texts.hash_vector(a, 64), texts.hash_vector(b, 64))
+    store = rag.ingest(spark.createDataFrame([(1, a, "x"), (2, b, "x")], "doc_id long, text string, category string"))
+    asked = spark.createDataFrame([(1, a), (2, b)], "qid long, question string")
+    assert {(r.qid, r.doc_id) for r in rag.retrieve(store, asked, 3, least=0.9).collect()} == {(1, 1), (2, 2)}
+    v = texts.hash_vectors([f"text {i}" for i in range(4000)], 40)
+    assert v.shape == (4000, 40) and np.linalg.norm(v, axis=1) == pytest.approx(1, abs=1e-6)
+    assert abs(v.mean()) < 0.01 and np.abs(v.T @ v / 4000 * 40 - np.eye(40)).max() < 0.1
+
+
 def test_question_answering(spark):
     docs = spark.createDataFrame([(1, "a" * 350, "x"), (2, "short text", "y"), (3, None, "y")], "doc_id long, text string, category string")
     store = rag.ingest(docs, dim=16).cache()
