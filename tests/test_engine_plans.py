@@ -60,6 +60,20 @@ def test_probed_buckets_are_all_that_is_read(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket_id" in plan(found) or "PartitionFilters: [bucket_id" in plan(found)
 
 
+def test_many_queries_take_one_pass_over_the_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 4)))], "vec_id long, embedding array<float>").cache()
+    asked = rows.where("vec_id < 40").withColumnRenamed("vec_id", "qid")
+    found = flat.batch_search(rows, asked, 5, block=8)
+    assert "Union" not in plan(found) and plan(found).count("Exchange") == 1  # of the hits, by query
+    monkeypatch.setattr(flat, "QUERY_PASS", 16)
+    by_pass = flat.batch_search(rows, asked, 5, block=8)
+    assert "Union" in plan(by_pass)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, by_pass.collect()))
+    mixed = asked.select("qid", F.when(F.col("qid") % 2 == 0, F.col("embedding")).otherwise(F.array(F.lit(1.0).cast("float"))).alias("embedding"))
+    assert {r.qid for r in flat.batch_search(rows, mixed, 5).collect()} == set(range(0, 40, 2))
+
+
 def test_graph_search_has_no_shuffle_of_the_graph(spark, tmp_path):
     rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(70)], "vec_id long, embedding array<float>")
     index = hnsw.build(rows, M=4, ef_construction=20, shard_rows=20).kept(str(tmp_path / "g"))
