@@ -13,11 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkvec.functions.distance import check_metric, distance, paired, pairwise
+from sparkvec.functions.distance import paired, pairwise
 from sparkvec.operators import flat
 
 
@@ -97,24 +96,17 @@ class IVFModel:
         return flat.search(probed, query, top_k, metric, where, dim=self.centroids.shape[1])
 
     def batch_search(self, bucketed: DataFrame, queries: DataFrame, top_k: int = 10, metric: str = "l2", nprobe: int | None = None) -> DataFrame:
-        """(qid, vec_id, distance, rank): queries meet rows by an equi-join on the bucket."""
-        check_metric(metric)
-        sent, n = queries.sparkSession.sparkContext.broadcast(self.centroids), min(nprobe or self.nprobe, len(self.centroids))
+        """(qid, vec_id, distance, rank): each bucket's rows meet the queries that probe it, in blocks of matrix products."""
+        centroids, n = self.centroids, min(nprobe or self.nprobe, len(self.centroids))
 
-        def run(batches):
-            for batch in batches:
-                q = flat.matrix(batch.column("embedding"))
-                d = pairwise("l2", q, sent.value) if len(q) else np.zeros((0, n))
-                probes = np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("embedding"), pa.array(list(probes), pa.list_(pa.int32()))], names=["qid", "embedding", "probes"])
-
-        slim = queries.select("qid", "embedding")
-        asked = slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("probes", T.ArrayType(T.IntegerType()))]))
-        asked = asked.select("qid", F.col("embedding").alias("__q"), F.explode("probes").alias("bucket_id"))
-        scored = bucketed.select("bucket_id", "vec_id", "embedding").join(asked, "bucket_id")
-        scored = scored.select("qid", "vec_id", distance(metric, F.col("embedding"), F.col("__q")).alias("distance"))
-        by = W.partitionBy("qid").orderBy("distance", "vec_id")
-        return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= max(top_k, 0))
+        def probes(q: np.ndarray) -> np.ndarray:
+            """The n nearest centroids of each query, the lowest of equals first."""
+            if q.shape[1] != centroids.shape[1]:
+                return np.zeros((len(q), 0), int)
+            some = max(1, (1 << 22) // centroids.size)
+            return np.concatenate([np.argsort(paired("l2", q[i : i + some, None, :], centroids[None]), axis=1, kind="stable")[:, :n] for i in range(0, len(q), some)])
+
+        return flat.scan(bucketed.select("bucket_id", "vec_id", "embedding"), queries, top_k, metric, probes=probes)
 
 
 @dataclass

@@ -74,6 +74,21 @@ def test_many_queries_take_one_pass_over_the_rows(spark, monkeypatch):
     assert {r.qid for r in flat.batch_search(rows, mixed, 5).collect()} == set(range(0, 40, 2))
 
 
+def test_rows_of_a_bucket_do_not_join_the_queries(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 4)))], "vec_id long, embedding array<float>").cache()
+    asked = rows.where("vec_id % 3 = 0").withColumnRenamed("vec_id", "qid")
+    model = ivf.IVF(nlist=6, nprobe=2).fit(rows)
+    held = model.write(rows, str(tmp_path / "held"))
+    found = model.batch_search(held, asked, 5)
+    assert "Join" not in plan(found) and plan(found).count("Exchange") == 1
+    got = {}
+    for r in found.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.vec_id)
+    for q in asked.where("qid % 33 = 0").collect():
+        assert got[q.qid] == [r.vec_id for r in model.search(held, q.embedding, 5).collect()]
+
+
 def test_graph_search_has_no_shuffle_of_the_graph(spark, tmp_path):
     rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(70)], "vec_id long, embedding array<float>")
     index = hnsw.build(rows, M=4, ef_construction=20, shard_rows=20).kept(str(tmp_path / "g"))
