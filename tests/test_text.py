@@ -52,3 +52,12 @@ def test_question_answering(spark):
     assert row.context == "[1] short text" and row.context in row.prompt and row.answer
     none = rag.answer(store, asked, dim=16, category="zzz").first()
     assert none.context == "" and none.answer.startswith("Nothing")
+
+
+def test_chunks_are_embedded_once_for_all_questions(spark):
+    docs = spark.createDataFrame([(i, f"document {i}", "x") for i in range(1100)], "doc_id long, text string, category string")
+    store = rag.ingest(docs, dim=16)
+    found = rag.retrieve(store, docs.selectExpr("doc_id as qid", "text as question"), 1, dim=16)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and plan.split("== Initial Plan ==")[-1].count("MapInArrow") == 1
+    assert found.where("qid = doc_id").count() == 1100
