@@ -54,6 +54,15 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(length > 0, length, 1)
 
 
+def sides(metric: str, vectors: np.ndarray):
+    """Left and right sides, whose products are distances less what is the same for all rows of a query; and that."""
+    if metric == "l2":
+        size = (vectors * vectors).sum(axis=1)
+        return np.hstack([-2 * vectors, np.ones((len(vectors), 1))]), np.hstack([vectors, size[:, None]]), size
+    unit = _unit(vectors) if metric == "cosine" else vectors
+    return -unit, unit, 1.0 if metric == "cosine" else 0.0
+
+
 class TopK:
     """The k least (distance, id) of each of some queries, fed block by block.
 
@@ -64,17 +73,13 @@ class TopK:
         self.q, self.k, self.metric = queries, k, metric
         self.best = [np.zeros(0, t) for t in (np.int64, float, np.int64)]  # query, distance, id
         self.kth = np.full(len(queries), np.inf)
-        # Products of left and right are distances less what is the same for all rows of a query.
-        if metric == "l2":
-            self.left, self.same = np.hstack([-2 * queries, np.ones((len(queries), 1))]), (queries * queries).sum(axis=1)
-        else:
-            self.left, self.same = (-_unit(queries), 1.0) if metric == "cosine" else (-queries, 0.0)
+        self.left, _, self.same = sides(metric, queries)
         self.long = np.sqrt((self.left * self.left).sum(axis=1))
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
         if not len(ids) or not self.k:
             return
-        right = np.hstack([rows, (rows * rows).sum(axis=1)[:, None]]) if self.metric == "l2" else _unit(rows) if self.metric == "cosine" else rows
+        right = sides(self.metric, rows)[1]
         most = self.long * np.sqrt((right * right).sum(axis=1).max())
         kind = np.float32 if most.max() < 1e30 and np.abs(right).max() < 1e30 else np.float64
         d = self.left.astype(kind) @ right.astype(kind).T
@@ -97,7 +102,7 @@ class TopK:
         self.kth[query[last]] = dist[last]
 
 
-_HITS = "qid long, vec_id long, distance double"
+HITS = "qid long, vec_id long, distance double"
 
 
 def batch_search(rows: DataFrame, queries: DataFrame, top_k: int = 10, metric: str = "l2", block: int = QUERY_BLOCK) -> DataFrame:
@@ -143,10 +148,10 @@ def scan(rows: DataFrame, queries: DataFrame, top_k: int, metric: str, block: in
                     query, dist, vec = top.best
                     yield pa.RecordBatch.from_arrays([pa.array(names[wanted[query]]), pa.array(vec), pa.array(dist)], names=["qid", "vec_id", "distance"])
 
-        found = slim.where(F.size("embedding") == vectors.shape[1]).mapInArrow(run, _HITS)
+        found = slim.where(F.size("embedding") == vectors.shape[1]).mapInArrow(run, HITS)
         out = found if out is None else out.union(found)
     if out is None:
-        out = spark.createDataFrame([], _HITS)
+        out = spark.createDataFrame([], HITS)
     return ranked(out, k)
 
 

@@ -108,6 +108,34 @@ def test_hnsw_recall_shards_and_tombstones(spark):
         hnsw.build(rows, M=1)
 
 
+def test_hnsw_recall_with_uneven_norms(spark, tmp_path):
+    """No structure and norms from 1 to 7: the outer rows are the hard ones."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(4000, 64))
+    v *= (1 + np.arange(4000) % 7)[:, None] / np.linalg.norm(v, axis=1)[:, None]
+    rows = rows_of(spark, v)
+    index = hnsw.build(rows, M=16, ef_construction=64).kept(str(tmp_path / "g"))
+    asked = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid")
+    assert recall(spark, rows, asked, index.batch_search(asked, 10)) >= 0.9
+    for row in index.graph.select("links").collect():
+        layer = [node[0] for node in row.links]
+        assert all(len(set(to)) == len(to) for to in layer) and set().union(*layer) == set(range(len(layer)))
+
+
+def test_hnsw_copies_and_few_shown(spark):
+    rng = np.random.default_rng(7)
+    v = np.concatenate([np.ones((150, 8)), rng.normal(size=(150, 8))])
+    rows = rows_of(spark, v)
+    asked = rows.where("vec_id in (0, 200)").withColumnRenamed("vec_id", "qid")
+    index = hnsw.build(rows, M=4, ef_construction=20, ef_search=20)
+    found = index.batch_search(asked, 10).collect()
+    assert {r.distance for r in found if r.qid == 0} == {0.0} and len(found) == 20
+    left = index.remove(rows.where("vec_id < 150 or vec_id % 2 = 0").select("vec_id"))
+    got = sorted((r.qid, r.rank, r.vec_id) for r in left.batch_search(asked, 5).collect())
+    exact = flat.batch_search(rows.where("vec_id >= 150 and vec_id % 2 = 1"), asked, 5).collect()
+    assert got == sorted((r.qid, r.rank, r.vec_id) for r in exact)
+
+
 def test_hnsw_tiny(spark, tiny):
     index = hnsw.build(tiny, M=8, ef_construction=50, ef_search=50)
     assert ids(index.search([0.1, 0.1], 2)) == [10, 11]
