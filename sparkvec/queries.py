@@ -154,7 +154,7 @@ def candidate_ids_topk(spark, sf_dir):
 def tombstone_antijoin(spark, sf_dir):
     """A graph with a third of its rows deleted: every query still gets ten, none of them deleted."""
     rows = vectors(spark, sf_dir)
-    index = hnsw.build(rows, M=16, ef_construction=64, ef_search=10).remove(rows.where("vec_id % 3 = 0").select("vec_id"))
+    index = hnsw.build(rows, M=16, ef_construction=64, ef_search=10).kept(files.scratch(spark)).remove(rows.where("vec_id % 3 = 0").select("vec_id"))
     found = index.batch_search(_asked(rows), 10)
     return found.groupBy("qid").agg(F.count(F.lit(1)).cast("int").alias("hits"), F.count_if(F.col("vec_id") % 3 == 0).cast("int").alias("deleted"))
 

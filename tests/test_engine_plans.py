@@ -102,6 +102,22 @@ def test_graph_search_has_no_shuffle_of_the_graph(spark, tmp_path):
     assert some.groupBy("qid").count().where("count <> 3").isEmpty() and some.where("vec_id % 7 <> 1").isEmpty()
 
 
+def test_a_graph_is_built_once_for_all_queries(spark, tmp_path):
+    from sparkvec import queries
+
+    rng = np.random.default_rng(8)
+    made = [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(22_000, 4)))]
+    spark.createDataFrame(made[:1000], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = queries.tombstone_antijoin(spark, str(tmp_path))
+    assert "FlatMapGroupsInArrow" not in plan(found)  # read, not built
+    assert found.where("hits <> 10 or deleted <> 0").isEmpty() and found.count() == 50
+    rows = spark.createDataFrame([r[:2] for r in made], "vec_id long, embedding array<float>")
+    index = hnsw.build(rows.where("vec_id < 300"), M=4, ef_construction=20, shard_rows=100)
+    assert "hashpartitioning(shard" in plan(index.graph) and ", 3), REPARTITION_BY_NUM" in plan(index.graph)  # a part a shard
+    asked = rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid")
+    assert "Union" not in plan(index.batch_search(asked, 2))  # 1,100 queries
+
+
 def test_null_and_ragged_vectors_are_no_neighbours(spark):
     rows = spark.createDataFrame([(1, None), (2, [1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0, 0.0]), (5, [2.0, 2.0])], "vec_id long, embedding array<float>")
     for metric in ("l2", "cosine", "ip"):
