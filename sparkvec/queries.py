@@ -507,10 +507,25 @@ def rag_retrieve(spark, sf_dir):
     return found.select("qid", "rank", F.round("similarity", 5).alias("similarity"), "chunk", "preview", "category")
 
 
-@query(f"WITH {_QUESTIONS} SELECT qid, '[1] ' || question AS context FROM q")
+#: The hash embedder in SQL, over rows (chunk, ...): text, 64 numbers of 16 bits, their unit vector.
+_EMBEDDED = """SELECT *, list_transform(u, lambda x: CAST(x / size AS FLOAT)::DOUBLE)::DOUBLE[64] AS e FROM (SELECT *, sqrt(list_sum(list_transform(u, lambda x: x * x))) AS size
+    FROM (SELECT *, list_transform(range(0, 64), lambda i: CAST('0x' || substring(drawn, CAST(4 * i + 1 AS BIGINT), 4) AS INT)::DOUBLE - 32767.5) AS u
+    FROM (SELECT *, sha256(md5(chunk) || ':0') || sha256(md5(chunk) || ':1') || sha256(md5(chunk) || ':2') || sha256(md5(chunk) || ':3') AS drawn FROM {})))"""
+
+
+@query(f"""WITH {_QUESTIONS}, pieces AS (SELECT substring(text, CAST(i * 250 + 1 AS BIGINT), 300) AS chunk
+        FROM (SELECT text, unnest(range(0, CAST(ceil(length(text) / 250.0) AS BIGINT))) AS i FROM documents WHERE length(text) > 0 AND lang = 'en')),
+    c AS MATERIALIZED (SELECT chunk, n, e FROM ({_EMBEDDED.format('(SELECT chunk, count(*) AS n FROM pieces GROUP BY chunk)')})),
+    b AS MATERIALIZED (SELECT qid, e FROM ({_EMBEDDED.format('(SELECT qid, question AS chunk FROM q)')})),
+    s AS (SELECT b.qid, c.chunk, c.n, array_cosine_similarity(b.e, c.e) AS s FROM b, c),
+    t AS (SELECT qid, unnest(arg_max(struct_pack(chunk := chunk, n := n, s := s), s, 3)) AS t FROM s GROUP BY qid),
+    x AS (SELECT qid, t.chunk AS chunk, t.s AS s, unnest(range(0, least(t.n, 3))) FROM t),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk) AS rank FROM x)
+    SELECT qid, string_agg('[' || rank || '] ' || chunk, chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 3 GROUP BY qid""")
 def rag_context(spark, sf_dir):
+    """The three passages nearest to each question, copies of a passage in their places."""
     store, questions = _store(spark, sf_dir)
-    return rag.answer(store, questions, top_k=1, category="en").select("qid", "context")
+    return rag.answer(store, questions, category="en").select("qid", "context")
 
 
 @query(f"""WITH {_QUESTIONS} SELECT qid, 'Answer from the context.' || chr(10) || chr(10) || 'Context:' || chr(10) || '[1] ' || question || chr(10) || chr(10) || 'Question: ' || question || chr(10) || 'Answer:' AS prompt FROM q""")

@@ -61,3 +61,19 @@ def test_chunks_are_embedded_once_for_all_questions(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in plan and plan.split("== Initial Plan ==")[-1].count("MapInArrow") == 1
     assert found.where("qid = doc_id").count() == 1100
+
+
+def test_contexts_hold_three_passages(spark, tmp_path):
+    from sparkvec import queries
+
+    docs = spark.createDataFrame([(i, f"text {i % 30}" + "x" * (i % 3 * 200), "en" if i % 4 else "de", "web") for i in range(1, 81)], "doc_id long, text string, lang string, source string")
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 20 == 0, "en").otherwise(F.col("lang")))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.qid: r.context for r in queries.rag_context(spark, str(tmp_path)).collect()}
+    pieces = [r.chunk for r in texts.chunks(docs.where("lang = 'en'"), 300, 50).collect()]
+    vectors = texts.hash_vectors(pieces, 64).astype(float)
+    assert set(got) == {20, 40, 60, 80}
+    for r in docs.where("doc_id % 20 = 0").collect():
+        alike = vectors @ texts.hash_vector(r.text[:300], 64).astype(float)
+        best = sorted(range(len(pieces)), key=lambda i: (-round(alike[i], 9), pieces[i]))[:3]
+        assert got[r.doc_id] == "\n".join(f"[{n}] {pieces[i]}" for n, i in enumerate(best, 1))
